@@ -139,9 +139,7 @@ def memory_tokens(c: str | Column) -> Column:
 
 def extract_keywords(c: str | Column) -> Column:
     """Words with inner dots and dashes, longer than two characters, stop words removed."""
-    # A word boundary is needed at both ends, so a run is cut back to its outermost word characters.
-    pattern = f"(?<!{WORD})(?=[a-z0-9_])[a-z0-9_\\-.]*[a-z0-9_](?!{WORD})"
-    found = F.regexp_extract_all(F.lower(as_col(c)), F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(F.lower(as_col(c)), F.lit(r"(?U)\b[a-z0-9_\-.]+\b"), F.lit(0))
     return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(V.KEYWORD_STOPWORDS))
 
 
