@@ -398,3 +398,46 @@ def recall_at_k(results: DataFrame, truth: DataFrame, k: int = 5, item: str = "d
         F.count(F.lit(1)).alias("queries"), F.count("_hit").alias("answered"),
         F.round(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")), 6).alias("recall"),
     )
+
+
+def _runs(words: Column, n: int) -> Column:
+    """All runs of ``n`` neighbouring words."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
+    return F.coalesce(
+        F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")), F.array().cast("array<string>")
+    )
+
+
+def passage_truth(passages: DataFrame, docs: DataFrame, width: int = 5) -> DataFrame:
+    """Documents ``(query_id, doc_id)`` whose text contains the passage ``(query_id, text)`` as a whole.
+
+    Inner words of a passage keep their white space inside the document, so a run of them is an equality
+    key: windows of the documents' words meet the passages' runs, and the full test follows on the few
+    pairs left. Passages of one or two words are matched by character grams.
+    """
+    from lectern.operators.cache import match_domains
+
+    p = passages.select("query_id", F.col("text").alias("passage")).withColumn("_w", tx.words("passage"))
+    p = p.withColumn("_n", F.least(F.lit(width), F.size("_w") - 2))
+    keyed = p.where("_n > 0").select(
+        "query_id", "_n", F.array_join(F.slice("_w", F.lit(2), F.col("_n")), " ").alias("_key")
+    )
+    sizes = [r[0] for r in keyed.select("_n").distinct().collect()]  # at most ``width`` values
+    parts = []
+    if sizes:
+        words = docs.select("doc_id", tx.words("text").alias("_w"))
+        spans = F.flatten(F.array(*[_runs(F.col("_w"), n) for n in sizes]))
+        runs = words.select("doc_id", F.explode(F.array_distinct(spans)).alias("_key"))
+        parts.append(runs.join(small_side(keyed.select("query_id", "_key")), "_key").select("query_id", "doc_id").distinct())
+    short = p.where("_n <= 0").select("query_id", F.lower("passage").alias("keyword"))
+    if not short.isEmpty():
+        asked = docs.select(F.col("doc_id").alias("query_id"), "text")
+        found = match_domains(asked, short.withColumnRenamed("query_id", "_item"))
+        parts.append(found.select(F.col("_item").alias("query_id"), F.col("query_id").alias("doc_id")).distinct())
+    pairs = parts[0]
+    for extra in parts[1:]:
+        pairs = pairs.unionByName(extra)
+    full = docs.select("doc_id", "text").join(small_side(pairs), "doc_id").join(
+        small_side(p.select("query_id", "passage")), "query_id"
+    )
+    return full.where(F.contains("text", "passage")).select("query_id", "doc_id")
