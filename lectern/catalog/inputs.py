@@ -64,7 +64,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(
         F.col("conv_id").alias("session_id"), "turn", "role", owner("conv_id").alias("user_id"),
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"),
-        F.concat(phrase, "text").alias("text"), F.col("text").alias("plain"), at.alias("at"),
+        F.concat(phrase, "text").alias("text"), F.col("text").alias("plain"), at.alias("ts"),
         F.timestamp_seconds(at).alias("created_at"),
     )
 

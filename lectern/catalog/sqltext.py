@@ -146,5 +146,5 @@ NOW = EPOCH + 7 * 86400 + 43200
 _case = " ".join(f"WHEN {i} THEN {lit(p)}" for i, p in enumerate(PHRASES))
 MESSAGES = f"""msgs AS (
   SELECT conv_id AS session_id, turn, role, 'src' || (conv_id % 20) AS user_id, conv_id || '-' || turn AS message_id,
-    (CASE (conv_id + turn) % 8 {_case} END) || text AS text, text AS plain, {EPOCH} + conv_id * 600 + turn * 60 AS at
+    (CASE (conv_id + turn) % 8 {_case} END) || text AS text, text AS plain, {EPOCH} + conv_id * 600 + turn * 60 AS ts
   FROM conversations)"""
