@@ -93,7 +93,7 @@ pairs AS (SELECT q.query_id, {_qt} AS qt, l.* FROM qs q JOIN live l USING (user_
 rel AS (SELECT *, CASE WHEN len(mt) = 0 THEN 0.0 WHEN len(list_intersect(qt, mt)) > 0 THEN least(1.0, len(list_intersect(qt, mt)) / greatest(len(qt), 1)::DOUBLE)
   WHEN memory_type = 'instruction' THEN 0.4 ELSE 0.0 END::DOUBLE AS relevance,
   greatest(0.1, least(1.0, 1.0 - greatest(0, {S.NOW} - ts) / (30 * 86400.0::DOUBLE) * 0.9))::DOUBLE AS recency FROM pairs),
-sco AS (SELECT *, round(relevance * 0.6::DOUBLE + importance * 0.25::DOUBLE + recency * 0.15::DOUBLE, 4) AS score FROM rel WHERE relevance > 0),
+sco AS (SELECT *, round((relevance * 0.6::DOUBLE + importance * 0.25::DOUBLE + recency * 0.15::DOUBLE)::DECIMAL(20, 12), 4)::DOUBLE AS score FROM rel WHERE relevance > 0),
 mrank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ts DESC, memory_id) AS rank FROM sco
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ts DESC, memory_id) <= 5)"""
 

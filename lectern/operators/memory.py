@@ -219,7 +219,8 @@ def memory_search(
         .withColumn("recency", recency("updated_at", now))
     )
     importance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("importance")))
-    score = F.round(F.col("relevance") * 0.6 + importance * 0.25 + F.col("recency") * 0.15, 4)
+    # Rounded at twelve digits first, so that the noise of the sum never decides the fourth one.
+    score = F.round(F.round(F.col("relevance") * 0.6 + importance * 0.25 + F.col("recency") * 0.15, 12), 4)
     scored = scored.withColumn("score", score).drop("_q", "_m", "_age")
     return top_k(scored, ["query_id"], [F.desc("score"), F.desc("created_at"), F.col("memory_id")], k)
 
