@@ -18,8 +18,8 @@ PY_SPACE = (
     "\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 PY_SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
-LINE_BREAK = f"\\r\\n|[{_BREAKS}]"
+# Printable ASCII is passed over by the first test.
+LINE_BREAK = r"(?![ -~])(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]|[^\x00-\x7f](?<=[\x85\u2028\u2029]))"
 # The same sets for scanning: single Latin-1 characters first, the rest only for characters past ASCII.
 _WIDE_SPACE = r"[[^\x00-\x7f]&&[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 _LINE_SPACE = rf"(?:[\t\x1f\x20]|(?![\u2028\u2029\x85]){_WIDE_SPACE})*"
@@ -64,7 +64,7 @@ def normalize_unicode(c: str | Column, nfkc: bool = True) -> Column:
     if nfkc:
         # The cheap first class skips ASCII; only other characters are looked up in the ranges.
         c = F.coalesce(_nfkc(F.when(c.rlike(f"[^\\x00-\\x7f](?<![{_STABLE}])"), c)), c)
-    marks = "[" + "".join(V.CHAR_REPLACEMENTS) + "]"
+    marks = r"[^\x00-\x7f](?<=[" + "".join(V.CHAR_REPLACEMENTS) + "])"
 
     def replace_marks(t: Column) -> Column:
         out = t
@@ -87,20 +87,23 @@ def clean_whitespace(c: str | Column) -> Column:
     return trim_py(F.regexp_replace(c, f"{_LINE_SPACE}{_LINE_END}{_LINE_SPACE}", "\n"))
 
 
-# Any place the two steps below would change, apart from the ends of the text. Printable ASCII is passed
-# over by the first test.
-_UNCLEAN = (
-    rf"(?![!-~])(?:{V.CONTROL_CHARS}|\t|[ ]{{2}}|\n{{3}}|{_LINE_SPACE[:-1]}+{_LINE_END}"
-    rf"|{_LINE_END}{_LINE_SPACE[:-1]}|(?!\n){_LINE_END})"
-)
+# Control characters, tabs and white space other than the blank and the line feed. Printable ASCII is
+# passed over by the first class.
+_ODD = r"[^ -~\n](?<=[\x00-\x1f\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])"
+
+
+def _may_change(t: Column) -> Column:
+    """False only where the two cleaning steps change nothing but the ends of the text."""
+    runs = [F.contains(t, F.lit(s)) for s in ("  ", " \n", "\n ", "\n\n\n")]
+    return runs[0] | runs[1] | runs[2] | runs[3] | t.rlike(_ODD)
 
 
 def clean_marked(c: str | Column) -> Column:
     """Control characters and white space of a text whose characters are already normalised. Texts with
-    nothing to change, the usual case, cost one scan."""
+    nothing to change, the usual case, are only searched."""
 
     def steps(t: Column) -> Column:
-        return F.when(t.rlike(_UNCLEAN), clean_whitespace(strip_control(t))).otherwise(trim_py(t))
+        return F.when(_may_change(t), clean_whitespace(strip_control(t))).otherwise(trim_py(t))
 
     return let(as_col(c), steps)
 

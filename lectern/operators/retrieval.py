@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lectern.config import DEFAULTS
 from lectern.functions import text as tx
 from lectern.operators.filters import scope
-from lectern.operators.sizing import BROADCAST_BYTES, measure, small_side
+from lectern.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, measure, small_side
 
 # Scores are compared at this precision, so equal texts tie and the smaller id wins.
 RANK_DIGITS = 9
@@ -71,72 +71,77 @@ def query_terms(queries: DataFrame) -> DataFrame:
 _EACH = ""
 
 
-def _matching_postings(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Query terms and the postings of those terms only.
+def _matching_postings(queries: DataFrame, chunks: DataFrame, asked: DataFrame, hint) -> DataFrame:
+    """Postings of the asked terms only.
 
     Words that no query of the scope asks for are dropped next to the scan. The rest is shuffled once,
     by chunk: term counts and the later per-chunk sums all reuse that layout.
     """
-    asked = query_terms(queries)
-    vocab = asked.select("scope", "term").unionByName(
-        queries.select("scope", F.lit(_EACH).alias("term"))
-    ).distinct()
+    vocab = asked.select("scope", "term").unionByName(queries.select("scope", F.lit(_EACH).alias("term"))).distinct()
     words = (
         _tokens(chunks)
         .select("scope", "chunk_id", "dl", F.explode(F.array_append("tokens", F.lit(_EACH))).alias("term"))
         # Stated here so that no consumer adds a filter of its own and all of them share one shuffle.
         .where("scope IS NOT NULL AND chunk_id IS NOT NULL AND term IS NOT NULL")
-        .join(small_side(vocab), ["scope", "term"], "left_semi")
+        .join(hint(vocab), ["scope", "term"], "left_semi")
         .repartition("chunk_id")
     )
-    postings = words.groupBy("scope", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return asked, postings
+    return words.groupBy("scope", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _sum_scores(postings: DataFrame, weights: DataFrame, k1: float, b: float) -> DataFrame:
+def _sum_scores(postings: DataFrame, weights: DataFrame, k1: float, b: float, *more: Column) -> DataFrame:
     norm = F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")
     part = F.col("weight") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * norm)
     return (
         postings.join(weights, ["scope", "term"])
         .groupBy("query_id", "chunk_id")
-        .agg(F.sum(part).alias("raw_score"))
+        .agg(F.sum(part).alias("raw_score"), *more)
         .where(F.col("raw_score") > 0)
     )
 
 
 def _weights(asked: DataFrame, postings: DataFrame) -> DataFrame:
-    counts = postings.groupBy("scope", "term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("dl").cast("double").alias("dl_sum")
+    # The corpus totals of a scope travel on its term counts, which are at most the asked terms.
+    own = W.partitionBy("scope")
+    each = F.when(F.col("term") == _EACH, F.struct("df", "dl_sum"))
+    counts = (
+        postings.groupBy("scope", "term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").cast("double").alias("dl_sum"))
+        .withColumn("_all", F.max(each).over(own))
     )
-    each = F.col("term") == _EACH
-    stats = counts.groupBy("scope").agg(
-        F.max(F.when(each, F.col("df"))).alias("n_chunks"),
-        F.greatest(F.max(F.when(each, F.col("dl_sum") / F.col("df"))), F.lit(1e-12)).alias("avgdl"),
+    counts = counts.select(
+        "scope", "term", "df", F.col("_all.df").alias("n_chunks"),
+        F.greatest(F.col("_all.dl_sum") / F.col("_all.df"), F.lit(1e-12)).alias("avgdl"),
     )
     return (
-        asked.join(counts.select("scope", "term", "df"), ["scope", "term"])
-        .join(stats, "scope")
+        asked.join(counts, ["scope", "term"])
         .withColumn("weight", F.col("qtf") * idf("n_chunks", "df"))
+        .withColumn("may_cover", F.sum("df").over(W.partitionBy("query_id")) >= F.col("n_chunks"))
     )
 
 
+def _bm25_parts(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matching postings and weighted query terms.
+
+    Vocabulary and weights hold at most one row per asked term and query, so one measurement of the asked
+    terms decides for both whether they are broadcast or shuffled.
+    """
+    asked = query_terms(queries)
+    rows, size = measure(asked)
+    small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES // 2
+    hint = F.broadcast if small else (lambda d: d)
+    postings = _matching_postings(queries, chunks, asked, hint)
+    return postings, hint(_weights(asked, postings))
+
+
 def bm25_scores(
     queries: DataFrame, chunks: DataFrame, k1: float = DEFAULTS.k1, b: float = DEFAULTS.b
 ) -> DataFrame:
     """Raw score of every matching (query, chunk) pair of scoped inputs."""
-    asked, postings = _matching_postings(queries, chunks)
-    weights = _weights(asked, postings)
-    if _is_small(asked):
-        weights = F.broadcast(weights)
+    postings, weights = _bm25_parts(queries, chunks)
     return _sum_scores(postings, weights, k1, b)
 
 
-def _is_small(asked: DataFrame) -> bool:
-    # Weights hold one row per asked term, so their size is bounded by this one.
-    rows, size = measure(asked)
-    return rows <= 1_000_000 and size <= BROADCAST_BYTES // 2
-
-
 def bm25_search(
     queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, shared: bool = False,
     k1: float = DEFAULTS.k1, b: float = DEFAULTS.b, scoped: bool = False,
@@ -148,25 +153,15 @@ def bm25_search(
     """
     if not scoped:
         queries, chunks = scope(queries, chunks, shared)
-    asked, postings = _matching_postings(queries, chunks)
-    weights = _weights(asked, postings)
-    small = _is_small(asked)
-    hint = F.broadcast if small else (lambda d: d)
+    postings, weights = _bm25_parts(queries, chunks)
     best = top_k(
-        _sum_scores(postings, hint(weights), k1, b).withColumn("_s", F.round("raw_score", RANK_DIGITS)),
+        _sum_scores(postings, weights, k1, b).withColumn("_s", F.round("raw_score", RANK_DIGITS)),
         ["query_id"], [F.desc("_s"), F.col("chunk_id")], k,
     )
-    may_cover = (
-        weights.groupBy("query_id", "scope")
-        .agg(F.sum("df").alias("hits"), F.first("n_chunks").alias("n_chunks"))
-        .where(F.col("hits") >= F.col("n_chunks"))
-        .select("query_id", "n_chunks")
-    )
     full = (
-        _sum_scores(postings, hint(weights.join(may_cover.select("query_id"), "query_id", "left_semi")), k1, b)
+        _sum_scores(postings, weights.where("may_cover"), k1, b, F.max("n_chunks").alias("n_chunks"))
         .groupBy("query_id")
-        .agg(F.count(F.lit(1)).alias("matched"), F.min("raw_score").alias("low"))
-        .join(may_cover, "query_id")
+        .agg(F.count(F.lit(1)).alias("matched"), F.min("raw_score").alias("low"), F.max("n_chunks").alias("n_chunks"))
         .where(F.col("matched") == F.col("n_chunks"))
         .select("query_id", "low")
     )

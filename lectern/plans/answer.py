@@ -13,6 +13,7 @@ from lectern.operators import memory as M
 from lectern.operators import prompts as L
 from lectern.operators import retrieval as R
 from lectern.operators import routing as RT
+from lectern.operators.sizing import cut_lineage
 
 
 def pack(queries: DataFrame, history: DataFrame, cached: DataFrame, memories: DataFrame) -> DataFrame:
@@ -48,7 +49,8 @@ def answer_contexts(
     asked = guarded.where(F.col("decision") != "BLOCK").join(hist, "session_id", "left")
     asked = asked.withColumn("text", G.safe_text())
     signals = RT.query_signals(asked, has_history=F.coalesce(F.size("history"), F.lit(0)) > 0)
-    plan = RT.plan(signals)
+    # Each stage below is read by several later ones; its rows are few per question, so it is written once.
+    plan = cut_lineage(RT.plan(signals))
 
     to_rag = plan.where("use_rag").withColumn("text", RT.rewrite("text", F.col("history.content")))
     if "embedding" in queries.columns and "embedding" in chunks.columns:
@@ -60,15 +62,16 @@ def answer_contexts(
         ranked = R.rerank(texts, scorer, cfg.top_k)
         found = ranked.select("query_id", "chunk_id", "score", F.col("final_rank").alias("rank"))
     details = chunks.select("chunk_id", "doc_id", "filename", "page_number", "chunk_index", "content", F.col("user_id").alias("owner_id"))
-    found = found.join(details, "chunk_id")
-    cached = C.cache_search(plan.where("use_cag").select("query_id", "user_id", "text"), domains, entries, now, cfg.cache_chars)
-    remembered = M.memory_search(plan.where("use_mag").select("query_id", "user_id", "text"), memories, now, cfg.memory_top_k)
+    found = cut_lineage(found.join(details, "chunk_id"))
+    plain = plan.select("query_id", "user_id", "text", "use_cag", "use_mag")
+    cached = cut_lineage(C.cache_search(plain.where("use_cag"), domains, entries, now, cfg.cache_chars))
+    remembered = cut_lineage(M.memory_search(plain.where("use_mag"), memories, now, cfg.memory_top_k))
 
     callers = plan.select("query_id", F.col("user_id").alias("caller_id"))
     contexts = K.normalize_contexts(
         callers, found, cached, remembered.withColumn("owner_id", F.col("user_id")), plan.where("history IS NOT NULL")
     )
-    decisions = K.fuse(contexts, cfg.budget)
+    decisions = cut_lineage(K.fuse(contexts, cfg.budget))
     kept = decisions.where("accepted").select("query_id", "source", "source_id")
 
     def surviving(df: DataFrame, source: str, key: str) -> DataFrame:
