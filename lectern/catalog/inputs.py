@@ -55,7 +55,10 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    c = read_table(spark, sf, "conversations")
+    return tag_messages(read_table(spark, sf, "conversations"))
+
+
+def tag_messages(c: DataFrame) -> DataFrame:
     which = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8))
     phrase = F.lit("")
     for i, p in enumerate(PHRASES):
