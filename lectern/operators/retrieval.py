@@ -274,7 +274,8 @@ def lsh_search(
     from lectern.functions.vectors import cosine, l2_normalize
 
     def unit(df, key):
-        v = l2_normalize("embedding")
+        # The conversion may run before the filter, so it must stand a missing vector.
+        v = l2_normalize(F.coalesce("embedding", F.array(F.lit(0.0).cast("float"))))
         return df.where(F.size("embedding") > 0).select(key, "scope", "embedding", array_to_vector(v).alias("unit"))
 
     q, c = unit(queries, "query_id"), unit(chunks, "chunk_id")
