@@ -273,10 +273,13 @@ def lsh_search(
 
     from lectern.functions.vectors import cosine, l2_normalize
 
+    dim = int(chunks.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0])
+
     def unit(df, key):
-        # The conversion may run before the filter, so it must stand a missing vector.
-        v = l2_normalize(F.coalesce("embedding", F.array(F.lit(0.0).cast("float"))))
-        return df.where(F.size("embedding") > 0).select(key, "scope", "embedding", array_to_vector(v).alias("unit"))
+        # Hashing may run before the filter, so it gets a vector of the right length in any case.
+        fits = F.coalesce(F.size("embedding") == dim, F.lit(False))
+        v = F.when(fits, F.col("embedding")).otherwise(F.array_repeat(F.lit(0.0).cast("float"), dim))
+        return df.where(fits).select(key, "scope", "embedding", array_to_vector(l2_normalize(v)).alias("unit"))
 
     q, c = unit(queries, "query_id"), unit(chunks, "chunk_id")
     lsh = BucketedRandomProjectionLSH(
