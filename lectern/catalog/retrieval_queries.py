@@ -68,6 +68,18 @@ def bm25_topk_shared(spark, sf):
     return ranked(R.bm25_search(I.queries(spark, sf), I.chunks(spark, sf), 20, shared=True))
 
 
+@query("bm25_topk_stored_index", f"WITH {OWN}, {S.bm25('oc', 'oq', 5)} {RANKED} bm25")
+def bm25_topk_stored_index(spark, sf):
+    """The same from index tables written first, as a service would keep them."""
+    from lectern.operators.sizing import run_dir
+    from lectern.sources.tables import read_index, write_index
+
+    q, c = FL.scope(I.queries(spark, sf), I.chunks(spark, sf))
+    path = run_dir(spark, "index")
+    write_index(R.bm25_index(c), path)
+    return ranked(R.bm25_search(q, None, index=read_index(spark, path)))
+
+
 # Every query names three documents, or none, which searches all of them.
 @query("bm25_topk_subset", f"""WITH {S.CHUNKS}, {S.QUERIES},
 sub AS (SELECT query_id, text, CASE WHEN length(text) > 300 THEN []::BIGINT[] ELSE [query_id, query_id + 7, query_id * 5 + 100] END AS ids FROM qs),

@@ -24,6 +24,8 @@ LINE_BREAK = r"(?![ -~])(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]|[^\x00-\x7f](?<=[\x85
 _WIDE_SPACE = r"[[^\x00-\x7f]&&[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 _LINE_SPACE = rf"(?:[\t\x1f\x20]|(?![\u2028\u2029\x85]){_WIDE_SPACE})*"
 _LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]|[[^\x00-\x7f]&&[\x85\u2028\u2029]])"
+# Runs of white space other than one plain blank, which need no change to become one blank.
+_SPACE_RUN = rf"(?![!-~])(?: (?=[{PY_SPACE_CLASS}])[{PY_SPACE_CLASS}]+|[{PY_SPACE_CLASS}&&[^ ]][{PY_SPACE_CLASS}]*)"
 WORD = r"[\p{L}\p{N}_]"
 
 # Characters that compatibility normalisation leaves alone when no combining mark is present, plus
@@ -148,11 +150,11 @@ def extract_keywords(c: str | Column) -> Column:
 
 def normalize_query(c: str | Column) -> Column:
     stripped = F.regexp_replace(as_col(c), V.QUERY_CONTROL_CHARS, "")
-    return trim_py(F.regexp_replace(stripped, f"[{PY_SPACE_CLASS}]+", " "))
+    return trim_py(F.regexp_replace(stripped, _SPACE_RUN, " "))
 
 
 def dedup_key(c: str | Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(as_col(c)), f"[{PY_SPACE_CLASS}]+", " "))
+    return F.btrim(F.regexp_replace(F.lower(as_col(c)), _SPACE_RUN, " "))
 
 
 def est_tokens(c: str | Column) -> Column:

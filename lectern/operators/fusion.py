@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.config import Budget
 from lectern.functions import fixed_values as V
 from lectern.functions import text as tx
-from lectern.operators.sizing import small_side
+from lectern.operators.sizing import cut_lineage, small_side
 
 CONTEXT_COLUMNS = [
     "query_id", "caller_id", "source", "source_id", "priority", "score", "content", "owner_id", "turn_index",
@@ -115,25 +115,32 @@ def _accepted(survivors: DataFrame, budget: Budget) -> DataFrame:
 
 
 def fuse(contexts: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """Decision for every context row: ``accepted`` with its ``position`` in the order, or a drop ``reason``."""
-    rows = contexts.withColumn("tokens", tx.est_tokens("content")).withColumn("neg", -_rank_score())
+    """Decision for every context row: ``accepted`` with its ``position`` in the order, or a drop ``reason``.
+
+    The texts are read once, for their length and a digest of their normal form. All decisions are made on
+    these narrow rows, written once to the shared folder, and joined to the contexts at the end.
+    """
+    key = ["query_id", "source", "source_id"]
     foreign = F.coalesce(F.col("owner_id") != F.col("caller_id").cast("string"), F.lit(False))
-    rows = rows.withColumn("_foreign", foreign).withColumn("_key", F.sha2(tx.dedup_key("content"), 256))
-    order = F.struct("priority", "neg", "source_id")
-    # The best of each set of copies is a partial aggregate, so one text copied everywhere stays cheap.
-    best = rows.where(~F.col("_foreign")).groupBy("query_id", "_key").agg(F.min(order).alias("_best"))
-    rows = rows.join(best, ["query_id", "_key"], "left")
     low = F.lit(False)
     if budget.min_score and budget.min_score > 0:
         low = (F.col("source") != "conversation") & F.coalesce(F.col("score") < budget.min_score, F.lit(False))
-    rows = rows.withColumn(
+    rows = cut_lineage(
+        contexts.select(
+            *key, "priority", (-_rank_score()).alias("neg"), tx.est_tokens("content").alias("tokens"),
+            F.sha2(tx.dedup_key("content"), 256).alias("_key"), foreign.alias("_foreign"), low.alias("_low"),
+        )
+    )
+    order = F.struct("priority", "neg", "source_id")
+    # The best of each set of copies is a partial aggregate, so one text copied everywhere stays cheap.
+    best = rows.where(~F.col("_foreign")).groupBy("query_id", "_key").agg(F.min(order).alias("_best"))
+    rows = rows.join(best, ["query_id", "_key"], "left").withColumn(
         "_early",
         F.when(F.col("_foreign"), "security_user_mismatch").when(order != F.col("_best"), "duplicate")
-        .when(low, "below_relevance_threshold"),
-    ).drop("_best", "_key", "_foreign")
-    kept = _accepted(rows.where(F.col("_early").isNull()).select("query_id", "source", "source_id", "priority", "neg", "tokens"), budget)
-    out = rows.join(small_side(kept), "query_id", "left")
-    me = F.struct("priority", "neg", "source_id")
+        .when(F.col("_low"), "below_relevance_threshold"),
+    ).drop("_best", "_key", "_foreign", "_low")
+    kept = _accepted(rows.where(F.col("_early").isNull()).drop("_early"), budget)
+    out = rows.join(kept, "query_id", "left")
     position = F.array_position(
         F.transform("_kept", lambda a: F.struct(a["source"].alias("s"), a["source_id"].alias("i"))),
         F.struct(F.col("source").alias("s"), F.col("source_id").alias("i")),
@@ -142,7 +149,7 @@ def fuse(contexts: DataFrame, budget: Budget = Budget()) -> DataFrame:
         F.filter(
             "_kept",
             lambda a: (a["source"] == F.col("source"))
-            & (F.struct(a["priority"].alias("priority"), a["neg"].alias("neg"), a["source_id"].alias("source_id")) < me),
+            & (F.struct(a["priority"].alias("priority"), a["neg"].alias("neg"), a["source_id"].alias("source_id")) < order),
         ),
         F.lit(0),
         lambda t, a: t + a["tokens"],
@@ -157,10 +164,10 @@ def fuse(contexts: DataFrame, budget: Budget = Budget()) -> DataFrame:
         F.col("_early"),
         F.when(F.col("position").isNull(), F.when(limited & over_source, "source_token_budget").otherwise("token_budget")),
     )
-    return out.select(
-        *contexts.columns, F.col("tokens").alias("estimated_tokens"), reason.isNull().alias("accepted"), "position",
-        reason.alias("reason"),
+    decided = out.select(
+        *key, F.col("tokens").alias("estimated_tokens"), reason.isNull().alias("accepted"), "position", reason.alias("reason")
     )
+    return contexts.join(decided, key)
 
 
 def bundle(decisions: DataFrame) -> DataFrame:

@@ -134,6 +134,21 @@ def _bm25_parts(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataF
     return postings, hint(_weights(asked, postings))
 
 
+def _stored_parts(queries: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    asked = query_terms(queries)
+    rows, size = measure(asked)
+    hint = F.broadcast if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES // 2 else (lambda d: d)
+    vocab = hint(asked.select("scope", "term").distinct())
+    weights = (
+        asked.join(terms.join(vocab, ["scope", "term"], "left_semi"), ["scope", "term"])
+        .join(stats.withColumn("avgdl", F.greatest("avgdl", F.lit(1e-12))), "scope")
+        .withColumn("weight", F.col("qtf") * idf("n_chunks", "df"))
+        .withColumn("may_cover", F.sum("df").over(W.partitionBy("query_id")) >= F.col("n_chunks"))
+    )
+    wanted = postings.where("scope IS NOT NULL AND chunk_id IS NOT NULL AND term IS NOT NULL")
+    return wanted.join(vocab, ["scope", "term"], "left_semi").repartition("chunk_id"), hint(weights)
+
+
 def bm25_scores(
     queries: DataFrame, chunks: DataFrame, k1: float = DEFAULTS.k1, b: float = DEFAULTS.b
 ) -> DataFrame:
@@ -144,16 +159,22 @@ def bm25_scores(
 
 def bm25_search(
     queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, shared: bool = False,
-    k1: float = DEFAULTS.k1, b: float = DEFAULTS.b, scoped: bool = False,
+    k1: float = DEFAULTS.k1, b: float = DEFAULTS.b, scoped: bool = False, index: tuple | None = None,
 ) -> DataFrame:
     """Best ``k`` chunks per query with scores scaled to [0, 1] over all chunks of the scope.
 
+    With ``index``, the three tables of :func:`bm25_index` as they were stored, no text is read: only the
+    postings of the asked terms are. ``chunks`` is not used then, and queries carry their ``scope``.
+
     The maximum is the first of the best ``k``. The minimum is 0 as long as one chunk of the scope holds
     no query word, so the real minimum is computed only for queries whose term counts could cover the scope.
     """
-    if not scoped:
-        queries, chunks = scope(queries, chunks, shared)
-    postings, weights = _bm25_parts(queries, chunks)
+    if index is not None:
+        postings, weights = _stored_parts(queries, *index)
+    else:
+        if not scoped:
+            queries, chunks = scope(queries, chunks, shared)
+        postings, weights = _bm25_parts(queries, chunks)
     best = top_k(
         _sum_scores(postings, weights, k1, b).withColumn("_s", F.round("raw_score", RANK_DIGITS)),
         ["query_id"], [F.desc("_s"), F.col("chunk_id")], k,

@@ -74,6 +74,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def write_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """Store the postings, terms and statistics of a corpus, postings sorted by term inside their files so
+    that the row groups without an asked term are skipped."""
+    for name, df in zip(("postings", "terms", "stats"), index, strict=True):
+        keys = [c for c in ("scope", "term") if c in df.columns]
+        df.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats"))
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """One JSON line per event."""
     events.write.mode("append").json(path)

@@ -83,6 +83,16 @@ def test_bm25_without_broadcast(spark, monkeypatch):
     assert got == expected(rows, queries, 4)
 
 
+def test_bm25_from_a_stored_index(spark, tmp_path):
+    from lectern.sources.tables import read_index, write_index
+
+    rows, queries = corpus(11), asked(12)
+    q, c = FL.scope(spark.createDataFrame(queries, QUERIES), spark.createDataFrame(rows, CHUNKS))
+    write_index(R.bm25_index(c), str(tmp_path / "index"))
+    found = R.bm25_search(q, None, 4, index=read_index(spark, str(tmp_path / "index")))
+    assert {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in found.collect()} == expected(rows, queries, 4)
+
+
 def test_document_subsets(spark):
     rows, queries = corpus(5), asked(6)
     subset = {qid: [] if qid % 3 == 0 else [qid, qid + 2, 7] for qid, *_ in queries}
