@@ -134,27 +134,25 @@ def normalized_contexts(spark, sf):
 
 
 # --- context text and prompts --------------------------------------------------------------------
-# Each tenant's chunks in document order are its results, far more than the context can hold.
-BLOCKS = f"""{S.CHUNKS}, res AS (SELECT user_id AS query_id, chunk_id, doc_id, chunk_index, page_number, content, CASE WHEN doc_id % 3 > 0 THEN filename END AS filename,
-  row_number() OVER (PARTITION BY user_id ORDER BY chunk_id) AS rank, 1.0 / (1 + chunk_index) AS score FROM chunks),
+# The chunks of each document in their order are one result list; long documents exceed the context.
+BLOCKS = f"""{S.CHUNKS}, res AS (SELECT doc_id AS query_id, chunk_id, doc_id, chunk_index, page_number, content, CASE WHEN doc_id % 3 > 0 THEN filename END AS filename,
+  chunk_index + 1 AS rank, 1.0 / (1 + chunk_index) AS score FROM chunks),
 blk AS (SELECT *, '[Source ' || rank || ']' || chr(10) || 'Document: ' || coalesce(filename, '{V.UNKNOWN_FILE}') || chr(10) || 'Page: ' || page_number || chr(10) || 'Content:' || chr(10) || content || chr(10) AS block FROM res),
 cum AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM blk),
 kept AS (SELECT * FROM cum WHERE rank = 1 OR used <= 12000)"""
 
 
-def tenant_results(spark, sf):
-    c = I.chunks(spark, sf)
-    w = F.row_number().over(R.W.partitionBy("user_id").orderBy("chunk_id"))
-    return c.select(
-        F.col("user_id").alias("query_id"), "chunk_id", "doc_id", "chunk_index", "page_number", "content",
-        F.when(F.col("doc_id") % 3 > 0, F.col("filename")).alias("filename"), w.alias("rank"),
+def document_results(spark, sf):
+    return I.chunks(spark, sf).select(
+        F.col("doc_id").alias("query_id"), "chunk_id", "doc_id", "chunk_index", "page_number", "content",
+        F.when(F.col("doc_id") % 3 > 0, F.col("filename")).alias("filename"), (F.col("chunk_index") + 1).alias("rank"),
         (1.0 / (1 + F.col("chunk_index"))).alias("score"),
     )
 
 
 @query("context_blocks", f"WITH {BLOCKS} SELECT query_id, count(*) AS blocks, md5(string_agg(block, chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM kept GROUP BY ALL")
 def context_blocks(spark, sf):
-    r = tenant_results(spark, sf)
+    r = document_results(spark, sf)
     out = L.build_context(r.select("query_id").distinct(), r)
     return out.select("query_id", F.size("chunk_ids").cast("bigint").alias("blocks"), F.md5("context").alias("digest"))
 
@@ -162,7 +160,7 @@ def context_blocks(spark, sf):
 @query("citations", f"""WITH {BLOCKS} SELECT query_id, rank, doc_id, coalesce(filename, '{V.UNKNOWN_FILE}') AS filename, page_number::BIGINT AS page_number, chunk_index::BIGINT AS chunk_index,
   CASE WHEN length(content) > 250 THEN substring(content, 1, 250) || '...' ELSE content END AS preview, round(score, 4) AS relevance_score FROM kept""")
 def citations(spark, sf):
-    return L.citations(tenant_results(spark, sf)).select(
+    return L.citations(document_results(spark, sf)).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "filename", F.col("page_number").cast("bigint").alias("page_number"),
         F.col("chunk_index").cast("bigint").alias("chunk_index"), "preview", "relevance_score",
     )

@@ -274,22 +274,21 @@ def cache_lookup(spark, sf):
     return f.select("query_id", "seq", "cache_id", "version", F.md5("content").alias("digest"))
 
 
-# Every query asks for every key of one document per query and for a key that does not exist.
-ACCESS = f"""{ENTRIES}, {S.QUERIES}, lk AS (SELECT q.query_id, q.user_id, e.key AS cache_key FROM qs q JOIN ent e ON e.doc_id % 20 = q.query_id % 20
+# Every query asks for the keys of three documents and for one that does not exist.
+ACCESS = f"""{ENTRIES}, {S.QUERIES}, lk AS (SELECT q.query_id, q.user_id, e.key AS cache_key FROM qs q JOIN ent e ON e.doc_id IN (q.query_id, q.query_id + 60, q.query_id * 5 + 100)
   UNION ALL SELECT query_id, user_id, 'none' FROM qs),
 acc AS (SELECT l.*, e.key IS NOT NULL AND NOT (e.expires IS NOT NULL AND {S.NOW} > e.expires) AND (e.user_id IS NULL OR e.user_id = l.user_id) AS hit
   FROM lk l LEFT JOIN ent e ON e.key = l.cache_key)"""
 
 
 def lookups(spark, sf):
-    q = I.queries(spark, sf).select("query_id", "user_id", (F.col("query_id") % 20).alias("_m"))
-    d = domains(spark, sf)
-    e = read_table(spark, sf, "documents")
+    i = F.col("query_id")
+    q = I.queries(spark, sf).select("query_id", "user_id")
+    wanted = q.select("*", F.explode(F.array_distinct(F.array(i, i + 60, i * 5 + 100))).alias("doc_id"))
     owner = F.when(F.col("lang") != "en", F.col("source"))
     key = C.cache_key("lang", F.concat(F.lit("doc "), F.col("doc_id").cast("string")), owner)
-    keys = e.select((F.col("doc_id") % 20).alias("_m"), key.alias("cache_key"))
-    del d
-    return q.join(keys, "_m").select("query_id", "user_id", "cache_key").unionByName(
+    keys = read_table(spark, sf, "documents").select("doc_id", key.alias("cache_key"))
+    return wanted.join(keys, "doc_id").select("query_id", "user_id", "cache_key").unionByName(
         q.select("query_id", "user_id", F.lit("none").alias("cache_key"))
     )
 

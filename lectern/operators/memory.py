@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from lectern.functions import text as tx
 from lectern.functions.text import as_col
 from lectern.operators.filters import not_expired
 from lectern.operators.retrieval import top_k
+from lectern.operators.sizing import cut_lineage
 
 MEMORY_SCHEMA = (
     "memory_id STRING, user_id STRING, memory_type STRING, content STRING, importance DOUBLE, "
@@ -98,6 +100,105 @@ def _conflict_class(content: str) -> Column:
     return F.when(c.startswith("user prefers"), "prefers").when(c.rlike(r"^user instruction:\s"), "instruction")
 
 
+# For a group in which nothing expires, the window is summed up by two numbers: how many rows came after the
+# newest preference and after the newest instruction, counted up to the window. A slice of time maps every such
+# pair at its start to the pair at its end, so slices are summed up in parallel and chained afterwards.
+_FAR = DEFAULTS.conflict_window
+_PAIRS = (_FAR + 1) ** 2
+
+
+def _advance(since: list, last: list, kind: int | None, is_new: bool, row_id: str):
+    """One arrival on arrays of states: ``since[k]`` rows after the newest of kind ``k``, ``last[k]`` its id."""
+    if kind is None:
+        grow = np.ones(len(since[0]), dtype=bool)
+    else:
+        grow = (since[kind] >= _FAR) if is_new else np.ones(len(since[0]), dtype=bool)
+    for k in (0, 1):
+        since[k] = np.where(grow, 0 if k == kind else np.minimum(since[k] + 1, _FAR), since[k])
+    if kind is not None:
+        last[kind] = np.where(grow, row_id, last[kind])
+    return grow
+
+
+def _kind(k) -> int | None:
+    return None if k is None else (0 if k == "prefers" else 1)
+
+
+def _summaries(batches):
+    """End state and newest ids of a slice for every possible start state, per (user, type)."""
+    held = {}
+    for batch in batches:
+        for user, kind_of, part, k, is_new, row_id in zip(
+            batch["user_id"], batch["memory_type"], batch["slice"], batch["klass"], batch["is_new"], batch["memory_id"], strict=True
+        ):
+            key = (user, kind_of, int(part))
+            if key not in held:
+                grid = np.indices((_FAR + 1, _FAR + 1)).reshape(2, -1)
+                held[key] = ([grid[0], grid[1]], [np.full(_PAIRS, None, dtype=object), np.full(_PAIRS, None, dtype=object)])
+            _advance(*held[key], _kind(k), is_new, row_id)
+    rows = [
+        (*key, (since[0] * (_FAR + 1) + since[1]).tolist(), last[0].tolist(), last[1].tolist())
+        for key, (since, last) in held.items()
+    ]
+    yield pd.DataFrame(rows, columns=["user_id", "memory_type", "slice", "ends", "last_p", "last_i"])
+
+
+def _chain(slices: pd.DataFrame) -> pd.DataFrame:
+    """Start state of every slice of one (user, type); at most one row per partition of the data."""
+    state, ids, out = _PAIRS - 1, [None, None], []
+    for r in slices.sort_values("slice").itertuples(index=False):
+        out.append((r.user_id, r.memory_type, r.slice, state, ids[0], ids[1]))
+        ids = [new[state] if new[state] is not None else old for new, old in zip((r.last_p, r.last_i), ids, strict=True)]
+        state = int(r.ends[state])
+    return pd.DataFrame(out, columns=["user_id", "memory_type", "slice", "start", "start_p", "start_i"])
+
+
+def _replay(batches):
+    """Row that takes every arrival in, from the known start of each slice."""
+    group, since, last = None, None, None
+    for batch in batches:
+        out = []
+        for user, kind_of, start, start_p, start_i, k, is_new, row_id in zip(
+            batch["user_id"], batch["memory_type"], batch["start"], batch["start_p"], batch["start_i"], batch["klass"],
+            batch["is_new"], batch["memory_id"], strict=True,
+        ):
+            if (user, kind_of) != group:
+                group = (user, kind_of)
+                begin = _PAIRS - 1 if pd.isna(start) else int(start)
+                since = [begin // (_FAR + 1), begin % (_FAR + 1)]
+                last = [start_p, start_i]
+            kind = _kind(k)
+            if kind is not None and is_new and since[kind] < _FAR:
+                out.append(last[kind])
+                continue
+            since = [0 if j == kind else min(since[j] + 1, _FAR) for j in (0, 1)]
+            if kind is not None:
+                last[kind] = row_id
+            out.append(row_id)
+        yield pd.DataFrame({"memory_id": batch["memory_id"], "slot": out})
+
+
+def _slots(arrivals: DataFrame) -> DataFrame:
+    """``(memory_id, slot)`` for groups in which nothing expires, however large one of them is.
+
+    The rows are range-partitioned by user, type and arrival, so a large group is spread over many slices. Only
+    groups that cross a slice border, at most two per slice, need a start state.
+    """
+    order = ["user_id", "memory_type", "is_new", "at", "memory_id"]
+    sliced = cut_lineage(
+        arrivals.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id())
+    )
+    key = ["user_id", "memory_type"]
+    spans = sliced.groupBy(*key).agg(F.min("slice").alias("_lo"), F.max("slice").alias("_hi")).where("_lo < _hi").select(*key)
+    parts = sliced.join(F.broadcast(spans), key, "left_semi").mapInPandas(
+        _summaries, "user_id string, memory_type string, slice int, ends array<int>, last_p array<string>, last_i array<string>"
+    )
+    starts = parts.groupBy(*key).applyInPandas(
+        _chain, "user_id string, memory_type string, slice int, start int, start_p string, start_i string"
+    )
+    return sliced.join(F.broadcast(starts), [*key, "slice"], "left").mapInPandas(_replay, "memory_id string, slot string")
+
+
 def _fold(batches):
     """Newest rows of one (user, type) at a time; input sorted by user, type and arrival.
 
@@ -140,7 +241,9 @@ def apply_memories(existing: DataFrame, new: DataFrame, window: int = DEFAULTS.c
 
     Where a (user, type) holds too few other rows to push one out of the window, and nothing expires, all
     arrivals of a kind share one row: first and last arrival are partial aggregates, whatever the number
-    of arrivals. The other groups are replayed in arrival order on narrow rows without their contents.
+    of arrivals. The other groups are replayed in arrival order on narrow rows without their contents: in slices
+    of time that run in parallel, or, where rows of the group expire, as one sorted pass that holds only the
+    rows the window can still see.
     """
     if window != DEFAULTS.conflict_window:
         raise ValueError("the conflict window is fixed")
@@ -157,18 +260,24 @@ def apply_memories(existing: DataFrame, new: DataFrame, window: int = DEFAULTS.c
         F.count_distinct("klass").alias("kinds"),
     )
     calm = (F.col("others") + F.col("kinds") <= window) & (F.col("expiring") == 0) & (F.col("stored") <= 1)
-    groups = groups.where(F.col("kinds_rows") > 0).select("user_id", "memory_type", calm.alias("calm"))
+    groups = groups.where(F.col("kinds_rows") > 0).select(
+        "user_id", "memory_type", calm.alias("calm"), (F.col("expiring") > 0).alias("expires")
+    )
     marked = every.join(groups, ["user_id", "memory_type"], "left")
 
     plain = marked.where(F.col("klass").isNull() & F.coalesce("calm", F.lit(True))).select(*cols)
     short = marked.where(F.col("klass").isNotNull() & F.col("calm")).withColumn("slot", F.lit(None).cast("string"))
     busy = marked.where(~F.coalesce("calm", F.lit(True)))
-    slots = (
-        busy.select("user_id", "memory_type", "klass", "memory_id", F.col("created_at").alias("at"), "expires_at", "is_new")
+    narrow = busy.select(
+        "user_id", "memory_type", "klass", "memory_id", F.col("created_at").alias("at"), "expires_at", "is_new", "expires"
+    )
+    moving = (
+        narrow.where("expires").drop("expires")
         .repartition("user_id", "memory_type")
         .sortWithinPartitions("user_id", "memory_type", "is_new", "at", "memory_id")
         .mapInPandas(_fold, "memory_id string, slot string")
     )
+    slots = _slots(narrow.where(~F.col("expires")).drop("expires", "expires_at")).unionByName(moving)
     busy = busy.join(slots, "memory_id")
     both = short.unionByName(busy.select(*short.columns))
     body = F.struct("content", "importance", "metadata")

@@ -111,9 +111,19 @@ def recent(df: DataFrame, order: list[Column], n: int = 100) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, by: list[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """P50 and P95 per group. ``exact=False`` uses a sketch of bounded size for groups of any size."""
-    fn = (lambda p: F.percentile(value, p)) if exact else (lambda p: F.percentile_approx(value, p, accuracy))
-    return df.groupBy(*by).agg(fn(F.lit(0.5)).alias("p50"), fn(F.lit(0.95)).alias("p95"))
+    """P50 and P95 per group.
+
+    The exact form first counts equal values, so its state holds distinct values only; ``exact=False`` uses a
+    sketch of fixed size where even those are too many for one group.
+    """
+    if not exact:
+        return df.groupBy(*by).agg(
+            F.percentile_approx(value, 0.5, accuracy).alias("p50"), F.percentile_approx(value, 0.95, accuracy).alias("p95")
+        )
+    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy(*by).agg(
+        F.percentile(value, 0.5, F.col("_n")).alias("p50"), F.percentile(value, 0.95, F.col("_n")).alias("p95")
+    )
 
 
 def safe_summary(metrics: DataFrame) -> DataFrame:

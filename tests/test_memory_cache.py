@@ -136,3 +136,29 @@ def test_domains(spark):
     assert all(r.content.endswith("size limit]") and r.metadata["namespace"].lower() == "policy" for r in found)
     plan = C.match_domains(q, d.withColumnRenamed("user_id", "o"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_conflicts_across_slices(spark, seed):
+    """One user holds nearly everything, so its arrivals are cut into several slices of time."""
+    rnd = random.Random(seed)
+    texts = ["Remembered: {}"] * (2 + 5 * (seed % 3)) + ["User instruction: Always use {}", "User prefers {}"]
+    rows = [
+        (f"m{i:05d}", rnd.choice("aaaaaaab"), "instruction", rnd.choice(texts).format(i), None, T0 + timedelta(minutes=i))
+        for i in range(1200)
+    ]
+    df = spark.createDataFrame(rows, "memory_id string, user_id string, memory_type string, content string, expires_at timestamp, created_at timestamp")
+    df = df.select("memory_id", "user_id", "memory_type", "content", F.lit(0.5).alias("importance"), F.create_map(F.lit("s"), F.lit("t")).alias("metadata"), "expires_at", "created_at", F.col("created_at").alias("updated_at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = df.select("user_id", "memory_type", F.lit(None).cast("string").alias("klass"), "memory_id", F.col("created_at").alias("at"), F.lit(True).alias("is_new"))
+        assert cut.repartitionByRange("user_id", "memory_type", "is_new", "at", "memory_id").withColumn("s", F.spark_partition_id()).where("user_id = 'a'").select("s").distinct().count() > 1
+        got = {r.memory_id: (r.content, r.expires_at, r.updated_at) for r in M.apply_memories(df.limit(0), df).collect()}
+        assert got == resolve(rows)
+        # The same when the first half is already stored.
+        first = M.apply_memories(df.limit(0), df.where("memory_id < 'm00600'"))
+        second = M.apply_memories(first, df.where("memory_id >= 'm00600'"))
+        again = {r.memory_id: (r.content, r.expires_at, r.updated_at) for r in second.collect()}
+        assert again == got
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
