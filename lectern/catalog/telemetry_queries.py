@@ -62,13 +62,14 @@ def _stage_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("stage_latencies", f"""WITH {METRICS}, s AS ({_stage_sql()}) SELECT stage, count(ms) AS count, round(min(ms), 2) AS min_ms, round(max(ms), 2) AS max_ms,
-  round(sum(ms) / count(ms), 2) AS avg_ms FROM s GROUP BY stage""")
+# Both sides round at eight digits before they round at two.
+@query("stage_latencies", f"""WITH {METRICS}, s AS ({_stage_sql()}) SELECT stage, count(ms) AS count, round(min(ms)::DECIMAL(18, 8), 2)::DOUBLE AS min_ms, round(max(ms)::DECIMAL(18, 8), 2)::DOUBLE AS max_ms,
+  round((sum(ms) / count(ms))::DECIMAL(18, 8), 2)::DOUBLE AS avg_ms FROM s GROUP BY stage""")
 def stage_latencies(spark, sf):
     return N.pipeline_latencies(metrics(spark, sf))
 
 
-@query("latency_by_type", f"WITH {METRICS} SELECT event_type, 'total_latency_ms' AS stage, count(*) AS count, round(min(total_latency_ms), 2) AS min_ms, round(max(total_latency_ms), 2) AS max_ms, round(avg(total_latency_ms), 2) AS avg_ms FROM mt GROUP BY event_type")
+@query("latency_by_type", f"WITH {METRICS} SELECT event_type, 'total_latency_ms' AS stage, count(*) AS count, round(min(total_latency_ms)::DECIMAL(18, 8), 2)::DOUBLE AS min_ms, round(max(total_latency_ms)::DECIMAL(18, 8), 2)::DOUBLE AS max_ms, round(avg(total_latency_ms)::DECIMAL(18, 8), 2)::DOUBLE AS avg_ms FROM mt GROUP BY event_type")
 def latency_by_type(spark, sf):
     return N.latency_stats(metrics(spark, sf), ["total_latency_ms"], ["event_type"])
 

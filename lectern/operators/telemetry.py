@@ -44,10 +44,16 @@ def overview(docs: DataFrame, chunks: DataFrame, sessions: DataFrame, messages:
     )
 
 
+def _cents(x: Column) -> Column:
+    """Two decimals, rounded at eight first so that binary noise never decides a half."""
+    return F.round(F.round(x, 8), 2)
+
+
 def _stats(value: Column) -> list[Column]:
+    mean = F.sum(value) / F.nullif(F.count(value), F.lit(0))
     return [
-        F.count(value).alias("count"), F.round(F.min(value), 2).alias("min_ms"), F.round(F.max(value), 2).alias("max_ms"),
-        F.coalesce(F.round(F.sum(value) / F.nullif(F.count(value), F.lit(0)), 2), F.lit(0.0)).alias("avg_ms"),
+        F.count(value).alias("count"), _cents(F.min(value)).alias("min_ms"), _cents(F.max(value)).alias("max_ms"),
+        F.coalesce(_cents(mean), F.lit(0.0)).alias("avg_ms"),
     ]
 
 
