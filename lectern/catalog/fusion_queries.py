@@ -10,8 +10,6 @@ from lectern.catalog import sqltext as S
 from lectern.catalog.registry import query
 from lectern.config import Budget
 from lectern.functions import fixed_values as V
-from lectern.functions import text as tx
-from lectern.operators import filters as FL
 from lectern.operators import fusion as K
 from lectern.operators import memory as M
 from lectern.operators import prompts as L

@@ -9,7 +9,6 @@ from lectern.catalog import sqltext as S
 from lectern.catalog.registry import query
 from lectern.catalog.routing_queries import SECRET
 from lectern.functions import fixed_values as V
-from lectern.functions import text as tx
 from lectern.operators import cache as C
 from lectern.operators import memory as M
 from lectern.sources.tables import read_table
