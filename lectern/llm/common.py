@@ -85,3 +85,57 @@ def components(links: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
         if not changed:
             return label.select(F.col("u").alias("node"), F.col("l").alias("component"))
     raise RuntimeError("components did not settle")
+
+
+def bytes_words(text: str) -> list[bytes]:
+    """Words of a text as UTF-8, A-Z lowered. ``bytes`` knows ASCII alone, so both steps follow the word rule."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def whole_groups(batches, keys: list[str]):
+    """Regroup sorted batches of a task into frames that hold whole groups; one group may span batches."""
+    import pandas as pd
+
+    held = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        first, last = held[0][keys].iloc[0], pdf[keys].iloc[-1]
+        if (first == last).all():
+            continue
+        pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else pdf
+        cut = int((pdf[keys] == last).all(axis=1).to_numpy().argmax())
+        yield pdf.iloc[:cut]
+        held = [pdf.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def group_bounds(pdf, keys: list[str]):
+    """Start and end positions of the groups of a sorted frame."""
+    import numpy as np
+
+    new = np.ones(len(pdf), dtype=bool)
+    if len(pdf) > 1:
+        new[1:] = (pdf[keys].to_numpy()[1:] != pdf[keys].to_numpy()[:-1]).any(axis=1)
+    starts = np.flatnonzero(new)
+    return zip(starts, [*starts[1:], len(pdf)])
+
+
+def forest(linked):
+    """Edges ``(row, row)`` of a spanning forest of a symmetric Boolean matrix."""
+    import numpy as np
+
+    todo, edges = linked.any(axis=1), []
+    while todo.any():
+        root = int(todo.argmax())
+        todo[root] = False
+        stack = [root]
+        while stack:
+            a = stack.pop()
+            near = np.flatnonzero(linked[a] & todo)
+            todo[near] = False
+            edges += [(a, int(b)) for b in near]
+            stack += near.tolist()
+    return edges

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, mixing, quality, secrets, sql
-from lectern.llm.common import read
+from lectern.llm import chat, mixing, packing, quality, secrets, simhash, sql, toxicity
+from lectern.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality.measures(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(
@@ -51,6 +59,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    return toxicity.scored(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select(
@@ -60,6 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_secrets": op1_secrets, "op6_quality": op6_quality, "op8_chat": op8_chat, "op10_mixing": op10_mixing,
+    "op1_secrets": op1_secrets, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op6_quality": op6_quality,
+    "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op1_secrets": sql.secrets_sql(), "op6_quality": sql.quality_sql(), "op8_chat": sql.CHAT_SQL}
