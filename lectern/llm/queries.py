@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, mixing, packing, quality, secrets, simhash, sql, toxicity
+from lectern.llm import chat, language, licenses, mixing, packing, quality, range_join, secrets, simhash, sql, toxicity
 from lectern.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score(read(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 7) == 2)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,6 +39,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    named = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["start"].cast("bigint"))
+    return d.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), named(base).alias("base_labels"), named(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality.measures(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(
@@ -42,6 +58,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.range_join(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -74,7 +94,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_secrets": op1_secrets, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op6_quality": op6_quality,
+    "op1_secrets": op1_secrets, "op2_language": op2_language, "op3_packing": op3_packing, "op4_simhash": op4_simhash,
+    "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_range_join": op7_range_join,
     "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op1_secrets": sql.secrets_sql(), "op6_quality": sql.quality_sql(), "op8_chat": sql.CHAT_SQL}
