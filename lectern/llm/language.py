@@ -37,7 +37,7 @@ STATES = 6
 ROUNDS = 3
 END = b" "
 _FLUSH = 200_000
-_BLOCK = 150_000
+_BLOCK = 600_000
 N_CLASSES = HASHED + 1 + OWN
 
 
