@@ -88,8 +88,8 @@ def _accepted(survivors: DataFrame, budget: Budget) -> DataFrame:
     cands = (
         survivors.where(F.col("tokens") <= room)
         .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= widest)
-        .where(F.col("_rn") <= F.floor(room / F.col("tokens")))
+        # An empty content costs nothing and always fits; as copies are gone, a query has one at most.
+        .where((F.col("tokens") == 0) | (F.col("_rn") <= F.least(F.lit(widest), F.floor(room / F.greatest("tokens", F.lit(1))))))
     )
     item = F.struct("priority", "neg", "source_id", "source", "tokens")
     per_query = cands.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("_items"))

@@ -80,6 +80,17 @@ def test_literal_budgets(spark):
     assert (m.total_items, m.dropped_items, m.estimated_tokens, m.context_count, m.selected_sources) == (3, 1, 18, 0, ["conversation"])
 
 
+def test_empty_content_costs_nothing(spark):
+    rows = [
+        (1, "u", "cag", "a", 1, 0.9, "", None, None), (1, "u", "cag", "b", 1, 0.8, "x" * 40, None, None),
+        (2, "u", "cag", "c", 1, 0.9, "", None, None),
+    ]
+    for budget in (Budget(), Budget(total=5)):
+        assert {k: v[0] for k, v in fuse(spark, rows, budget).items()} == {
+            k: v for k, v in replay(rows, budget).items()
+        }
+
+
 def test_normalize(spark):
     callers = spark.createDataFrame([(1, "u")], "query_id int, caller_id string")
     talk = spark.createDataFrame([(1, [("user", "hi"), ("assistant", " "), ("user", "bye")])], "query_id int, history array<struct<role:string,content:string>>")
