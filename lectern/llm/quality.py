@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANKS, split_words, text_of, word_count
+from lectern.llm.common import split_words, text_of, word_count
 
 NAVIGATION = ["home", "menu", "login", "logout", "register", "next", "previous", "contact", "sitemap", "search", "share", "subscribe"]
 BOILERPLATE = [
@@ -42,22 +42,36 @@ def _at_most(n: int) -> str:
     return rf"^{_BLANK}*+(?:[^\x20\x09-\x0D]++(?:{_BLANK}++|\z)){{0,{n}}}\z"
 
 
-def line_fails(line: Column, min_words: int = 3, nav_words: int = 4) -> Column:
-    """True for a line that holds a word and fails a rule."""
+def _gates(text: Column) -> Column:
+    """Which of the slow rules some line of a text can fail at all, told by plain searches over the whole text."""
+    low = F.lower(text)
+    phrase = F.lit(False)
+    for p in BOILERPLATE:
+        phrase = phrase | F.contains(low, F.lit(p))
+    brace = F.contains(text, F.lit("{")) | F.contains(text, F.lit("}"))
+    return F.struct(
+        text.rlike(r"[#*$%&|<>]|!!").alias("marks"), F.contains(text, F.lit("|")).alias("bars"), (phrase | brace).alias("boiler")
+    )
+
+
+def line_fails(line: Column, gates: Column | None = None, min_words: int = 3, nav_words: int = 4) -> Column:
+    """True for a line that holds a word and fails a rule. With the ``gates`` of its text, rules that no line of the text
+    can fail are not tried; the answer is the same."""
+    gate = lambda name: F.lit(True) if gates is None else gates[name]
     ends = line.rlike(rf"[.!?…:;。！？][\"'”’»)\]]*{_BLANK}*\z")
-    fragment = ~ends & line.rlike(_at_most(min_words - 1))
+    fragment = line.rlike(_at_most(min_words - 1)) & ~ends
     # Four words in a row with a mark that prose does not hang on words, or one word four times over.
-    marks = line.rlike(rf"(?:[^\x20\x09-\x0D]*(?:[#*$%&|<>]|!!)[.,!]*{_BLANK}++){{3}}[^\x20\x09-\x0D]*(?:[#*$%&|<>]|!!)")
-    bars = line.rlike(rf"(?:[^|\n]{{1,40}}\|{_BLANK}*+){{3}}")
+    marks = gate("marks") & line.rlike(rf"(?:[^\x20\x09-\x0D]*(?:[#*$%&|<>]|!!)[.,!]*{_BLANK}++){{3}}[^\x20\x09-\x0D]*(?:[#*$%&|<>]|!!)")
+    bars = gate("bars") & line.rlike(rf"(?:[^|\n]{{1,40}}\|{_BLANK}*+){{3}}")
     again = line.rlike(rf"(?:^|{_BLANK})([^\x20\x09-\x0D]++)(?:{_BLANK}++\1(?={_BLANK}|\z)){{3}}")
     nav = line.rlike(_at_most(nav_words)) & line.rlike(rf"(?i)(?:^|[^A-Za-z]){_any(NAVIGATION)}(?:[^A-Za-z]|\z)")
-    boiler = line.rlike(rf"(?i){_any(BOILERPLATE)}") | line.rlike(r"[{}]")
+    boiler = gate("boiler") & (line.rlike(rf"(?i){_any(BOILERPLATE)}") | line.rlike(r"[{}]"))
     return line.rlike(r"[^\x20\x09-\x0D]") & (fragment | marks | bars | again | nav | boiler)
 
 
-def clean_lines(text: Column, **rules) -> Column:
+def clean_lines(text: Column, gates: Column | None = None, **rules) -> Column:
     """The text without its failing lines."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x, **rules)), "\n")
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x, gates, **rules)), "\n")
 
 
 def _windows(words: str) -> Column:
@@ -101,11 +115,12 @@ def measures(docs: DataFrame, text: str = "text", keep_share: float = 0.5, **rul
         F.lit(0).cast("bigint"), lambda a, x: a + x,
     )
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("_llm_lines", lines).withColumn("_llm_clean", clean_lines(t, **rules))
+    d = d.withColumn("_llm_lines", lines).withColumn("_llm_gates", _gates(t))
+    d = d.withColumn("_llm_clean", clean_lines(t, F.col("_llm_gates"), **rules))
     d = d.select(
         *own,
         F.size(w).cast("bigint").alias("_n"),
-        F.length(F.regexp_replace(t, BLANKS, "")).cast("bigint").alias("_wc"),
+        F.length(F.array_join(w, "")).cast("bigint").alias("_wc"),
         (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("bigint").alias("_sym"),
         (F.size("_llm_lines") - F.size(F.array_distinct("_llm_lines"))).cast("bigint").alias("_dup"),
         covered.alias("_rep"), F.col("_llm_clean").alias("_clean"), word_count(F.col("_llm_clean")).alias("_left"),
