@@ -204,12 +204,3 @@ CACHE_TRUNCATED = "... [Truncated by CAG size limit]"
 
 # --- telemetry -----------------------------------------------------------------------------------
 UNKNOWN_ERROR = "UnknownError"
-STAGES = [
-    "request", "query", "routing", "rag", "rerank", "cag", "mag", "fusion", "prompt", "llm", "llm_ttft",
-]
-EVENT_TYPES = [
-    "request_started", "input_guardrail_completed", "query_processed", "context_sources_selected",
-    "rag_completed", "cag_completed", "mag_completed", "fusion_completed", "retrieval_guardrail_completed",
-    "prompt_built", "llm_started", "llm_first_token", "llm_completed", "output_guardrail_completed",
-    "guardrail_blocked", "request_completed", "stage_failed", "request_failed",
-]
