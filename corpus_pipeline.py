@@ -1,14 +1,15 @@
 """Training-data pipeline over ``documents``: every stage is written as Parquet and read again by the next one.
 
 1. ``toxicity``: documents that the classifier rejects go; it is fitted to the labels of the given folder.
-2. ``near_duplicates``: of every group of near copies the document with the smallest id stays.
+2. ``near_duplicates``: of every group of near copies one row stays, that with the smallest id.
 3. ``secrets``: all spans found are replaced by a mark, ``n_chars`` follows the text; no document goes.
 4. ``mixing``: sources come near their target weights; a document may come up to three times, or not at all.
 5. ``packing``: pieces of token sequences with their places.
 
 The stages before the last keep the columns of their input. Nulls, empty tables, repeated rows and extra columns are
-treated as the operators say; of near copies with a null id alone, all stay, as nothing names one of them; of rows that
-share the smallest id of their group, the one with the smallest text hash stays, once.
+treated as the operators say. Groups are told by their texts, never by ids: rows of one id with texts that are no near
+copies stay, each for its group. A null id is the last one; of rows that share the smallest id of their group, the one
+with the smallest text hash stays, once.
 """
 
 from __future__ import annotations
@@ -27,13 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.fingerprint_classes(docs.select("doc_id", "text"))
-    # One row per group, told by its id, survives; the texts are met by id alone.
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    met = docs.join(kept, docs["doc_id"] == kept["_kept"], "left").where("_kept is not null or doc_id is null").drop("_kept")
-    named = met.where("doc_id is not null")
-    first = named.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
-    return first.select("_row.*").unionByName(met.where("doc_id is null"))
+    return simhash.one_per_class(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

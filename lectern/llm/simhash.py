@@ -176,11 +176,34 @@ def fingerprint_classes(docs: DataFrame, text: str = "text", key: str = "doc_id"
     return classes_of(marked, key, tile)
 
 
-def classes_of(marked: DataFrame, key: str, tile: int = TILE, *more: str) -> DataFrame:
-    """Classes of the rows ``(id, fp, ...)``."""
+def _labels(marked: DataFrame, tile: int) -> DataFrame:
+    """``fp, least, c``: fingerprints of the rows ``(id, fp, ...)`` with their smallest id and their class."""
     reps = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("least")))
     comp = components(links(reps, tile))
-    grouped = reps.join(comp, reps["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    return reps.join(comp, reps["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+
+
+def classes_of(marked: DataFrame, key: str, tile: int = TILE, *more: str) -> DataFrame:
+    """Classes of the rows ``(id, fp, ...)``."""
+    grouped = _labels(marked, tile)
     least = grouped.groupBy("c").agg(F.min("least").alias("component_id"))
     table = marked.join(grouped.join(least, "c").select("fp", "component_id"), "fp")
     return table.select(F.col("id").alias(key), *more, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id", tile: int = TILE) -> DataFrame:
+    """One whole row of every class of linked texts: that of the smallest id (nulls last), then text hash, then row hash.
+
+    A class is told by its fingerprints, so ids may repeat or be null. Heads are chosen on narrow rows.
+    """
+    whole = F.xxhash64(*[f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    marked = docs.select(F.col(key).alias("id"), fingerprints(text_of(text)).alias("fp"), F.xxhash64(text_of(text)).alias("h"), whole.alias("r"))
+    marked = cut_lineage(marked.groupBy("id", "fp", "h", "r").agg(F.count(F.lit(1)).alias("n")))
+    head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "r", "n")).alias("head")
+    heads = marked.join(_labels(marked, tile).select("fp", "c"), "fp").groupBy("c").agg(head)
+    heads = heads.select(F.col("head.id").alias("_id"), F.col("head.h").alias("_h"), F.col("head.r").alias("_r"), F.col("head.n").alias("_n"))
+    d = docs.withColumn("_row", whole).withColumn("_text", F.xxhash64(text_of(text)))
+    met = d.join(heads, (d["_row"] == heads["_r"]) & (d["_text"] == heads["_h"]) & d[key].eqNullSafe(heads["_id"]))
+    # Rows repeated as a whole are met together; partial aggregates leave one of them.
+    once = met.where("_n > 1").dropDuplicates(["_row", "_text", "_id"])
+    return met.where("_n = 1").unionByName(once).select(*docs.columns)
