@@ -1,19 +1,23 @@
 """Mixing sources to target weights: multivariate-hypergeometric splitting tree over permuted blocks.
 
 Documents of a source are dealt into blocks by a hash, and the blocks are put into a hashed order. A source whose target
-is ``x`` times its words is passed ``floor(x)`` times as a whole; of the rest, blocks are taken from the front of the
-order, and inside the one block on the border documents are taken as long as they fit. Every (pass, block) is one
+is ``x`` times its words is passed ``floor(x)`` times as a whole; of the rest, rows are taken from the front of the order
+of blocks and, in a block, of hashes, whenever they fit the room left. Running sums over the blocks tell up to where all
+rows that fit by themselves fit together; the block on the border is filled row by row, and what room it leaves is carried
+on to the blocks after it, until no row left fits. Every (pass, block) is one
 *draw*; the draws of all sources are split over output shards by a tree: a node with a vector of draws per source hands
 a multivariate-hypergeometric part of it to its left half and the rest to its right half. Each leaf is a shard that owns
 a disjoint range of every source's permuted draws; its documents are shuffled by a hash of their own.
 
 Results: a null text has no words; a null source is a source of its own, ordered last. A document with no words is never
-taken, nor is any of a source whose target is zero. Repeated rows (equal id and text) are taken or left together. An
-empty table gives an empty plan. Equal inputs give equal plans: every choice is a hash of ids, texts and the seed.
+taken, nor is any of a source whose target is zero. Repeated rows (equal id and text) are taken one by one. An empty table
+gives an empty plan. Equal inputs give equal plans: every choice is a hash of ids, texts and the seed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -76,13 +80,61 @@ def _shards(spark, draws: list[int], n_shards: int, seed: int) -> DataFrame:
     return nodes.repartition(len(top), "lo").mapInPandas(leaves, "shard long, source_no int, n long")
 
 
+def _take(items: DataFrame, rest: dict[int, int], seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the last pass: ``(_no, after, until, room)``, ranges of ranks from which every row of at most ``room``
+    words is taken, and ``(source_no, block, key, took)``, rows taken in border blocks.
+
+    Together they are what one walk over the rows in their order takes, each that fits. A round ends at a block, so rounds
+    are few: a filled block leaves less room than its smallest row left has. One row per source comes to the driver.
+    """
+    spark = items.sparkSession
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["turn", "key", "doc_id"], kind="stable")
+        room, took = int(pdf["left"].iloc[0]), []
+        for size, rows in zip(pdf["size"].tolist(), pdf["rows"].tolist()):
+            took.append(min(rows, room // size))
+            room -= took[-1] * size
+        pdf = pdf.assign(took=took, words=pdf["size"] * took)
+        return pdf.loc[pdf["took"] > 0, ["source_no", "block", "key", "took", "words"]]
+
+    kind, all_ranges, fills = "source_no int, block long, key long, took long, words long", [], []
+    todo = {no: (-1, room) for no, room in rest.items() if room > 0}
+    by = Window.partitionBy("source_no").orderBy("rank")
+    while todo:
+        now = spark.createDataFrame([(no, after, room) for no, (after, room) in todo.items()], "source_no int, after long, room long")
+        fit = items.join(F.broadcast(now), "source_no").where("rank > after and size between 1 and room")
+        sums = fit.groupBy("source_no", "room", "rank").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
+        sums = sums.withColumn("upto", F.sum("words").over(by))
+        got = sums.groupBy("source_no").agg(
+            F.min(F.when(F.col("upto") > F.col("room"), F.col("rank"))).alias("border"),
+            F.max(F.when(F.col("upto") <= F.col("room"), F.col("upto"))).alias("used"),
+        ).collect()
+        all_ranges += [(r["source_no"], todo[r["source_no"]][0], 2**62 if r["border"] is None else r["border"], todo[r["source_no"]][1]) for r in got]
+        todo = {r["source_no"]: (r["border"], todo[r["source_no"]][1] - int(r["used"] or 0)) for r in got if r["border"] is not None}
+        if not todo:
+            break
+        edge = spark.createDataFrame([(no, at, left) for no, (at, left) in todo.items()], "source_no int, rank long, left long")
+        full = cut_lineage(
+            items.join(F.broadcast(edge), ["source_no", "rank"]).where("size between 1 and left")
+            .select("source_no", "block", "doc_id", "key", "size", "rows", "left", F.xxhash64("key", F.lit(seed + 2)).alias("turn"))
+            .groupBy("source_no", "block").applyInPandas(fill, kind)
+        )
+        fills.append(full)
+        used = {r["source_no"]: int(r["w"]) for r in full.groupBy("source_no").agg(F.sum("words").alias("w")).collect()}
+        todo = {no: (at, left - used.get(no, 0)) for no, (at, left) in todo.items() if left > used.get(no, 0)}
+    filled = reduce(DataFrame.unionByName, fills) if fills else spark.createDataFrame([], kind)
+    return spark.createDataFrame(all_ranges, "_no int, after long, until long, room long"), filled.drop("words")
+
+
 def mix_plan(
     docs: DataFrame, weights=WEIGHTS, cap: float = 3.0, block_rows: int = BLOCK_ROWS, shard_draws: int = SHARD_DRAWS, seed: int = 7
 ) -> DataFrame:
-    """One row per distinct (id, text, source): ``doc_id, key, source, rows, size, source_size, target, copies, shards``.
+    """One row per distinct (id, text, source) and number of copies:
+    ``doc_id, key, source, rows, first, equal, size, source_size, target, copies, shards``.
 
-    ``key`` is the hash of id and text, ``rows`` the number of equal rows, ``size`` the words of one of them,
-    ``copies`` how often each is taken and ``shards`` where (one entry per copy). ``block_rows`` is the mean number of
+    ``key`` is the hash of id and text, ``equal`` the number of equal rows, ``rows`` how many of them, after the ``first``
+    ones, the row stands for, ``size`` the words of one of them, ``copies`` how often each is taken and ``shards`` where (one entry per copy). ``block_rows`` is the mean number of
     documents in a block, ``shard_draws`` the mean number of blocks in a shard.
     """
     spark = docs.sparkSession
@@ -108,33 +160,21 @@ def mix_plan(
         "block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("n_blocks"))
     )
     order = Window.partitionBy("source_no").orderBy(F.xxhash64("source_no", "block", F.lit(seed + 1)), "block")
-    blocks = placed.groupBy("source_no", "block", "whole", "rest").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
-    blocks = blocks.select(
-        "source_no", "block", "whole", "rest", (F.row_number().over(order) - 1).cast("bigint").alias("rank"),
-        F.sum("words").over(order).alias("upto"), "words",
-    )
-    blocks = cut_lineage(
-        blocks.withColumn("room", F.col("rest") - F.col("upto") + F.col("words"))
-        .withColumn("state", F.when(F.col("upto") <= F.col("rest"), "in").when(F.col("room") > 0, "border").otherwise("out"))
-    )
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Documents of a border block, in hashed order, as long as they fit into the room left."""
-        pdf = pdf.sort_values(["turn", "key", "doc_id"], kind="stable")
-        room, keep = int(pdf["room"].iloc[0]), []
-        for w in pdf["words"]:
-            keep.append(0 < w <= room)
-            room -= int(w) * keep[-1]
-        return pdf.loc[keep, ["source_no", "block", "key"]]
-
-    border = (
-        placed.join(blocks.where("state = 'border'").select("source_no", "block", "room"), ["source_no", "block"])
-        .select("source_no", "block", "doc_id", "key", (F.col("size") * F.col("rows")).alias("words"), "room",
-                F.xxhash64("key", F.lit(seed + 2)).alias("turn"))
-        .groupBy("source_no", "block").applyInPandas(fill, "source_no int, block long, key long")
-        .distinct().withColumn("extra", F.lit(1))
+    blocks = placed.select("source_no", "block").distinct().withColumn("rank", (F.row_number().over(order) - 1).cast("bigint"))
+    items = cut_lineage(placed.join(blocks, ["source_no", "block"]))
+    ranges, filled = _take(items, {r[1]: r[5] for r in rows}, seed)
+    inside = F.col("size").between(1, F.col("room"))
+    items = cut_lineage(
+        items.join(F.broadcast(ranges), (items["source_no"] == ranges["_no"]) & (F.col("rank") > F.col("after")) & (F.col("rank") < F.col("until")), "left")
+        .join(filled, ["source_no", "block", "key"], "left")
+        .withColumn("extra", F.when(inside, F.col("rows")).otherwise(F.coalesce("took", F.lit(0).cast("bigint"))))
+        .drop("_no", "after", "until", "room", "took", "words")
     )
-    drawn = {r["source_no"]: int(r["n"]) for r in blocks.where("state <> 'out'").groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Blocks that the last pass takes from stand before all others.
+    front = Window.partitionBy("source_no").orderBy(F.col("some").desc(), "rank")
+    blocks = items.groupBy("source_no", "block", "rank").agg((F.max("extra") > 0).alias("some"))
+    blocks = cut_lineage(blocks.select("source_no", "block", "some", (F.row_number().over(front) - 1).cast("bigint").alias("rank")))
+    drawn = {r["source_no"]: int(r["n"]) for r in blocks.where("some").groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
     draws = [(r[4] * r[6] + drawn.get(r[1], 0)) for r in rows]
     if not sum(draws):
         draws = [1] + draws[1:] if draws else [1]
@@ -148,13 +188,17 @@ def mix_plan(
         "source_no", F.expr("draw % _nb").alias("rank"), F.expr("draw div _nb").alias("pass"), "shard"
     )
     dealt = draw.groupBy("source_no", "rank").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("drawn"))
-    table = blocks.join(dealt, ["source_no", "rank"], "left").select("source_no", "block", "state", "drawn")
-    out = placed.join(table, ["source_no", "block"]).join(border, ["source_no", "block", "key"], "left")
-    copies = F.when(F.col("size") == 0, 0).otherwise(
-        F.col("whole") + F.when(F.col("state") == "in", 1).otherwise(F.coalesce("extra", F.lit(0)))
+    table = blocks.join(dealt, ["source_no", "rank"], "left").select("source_no", "block", "drawn")
+    out = items.drop("rank").withColumnRenamed("rows", "equal").join(table, ["source_no", "block"])
+    # The first rows of an item are taken once more than the others.
+    whole = F.when(F.col("size") == 0, 0).otherwise(F.col("whole")).cast("bigint")
+    parts = F.array(
+        F.struct(F.col("extra").alias("rows"), F.lit(0).cast("bigint").alias("first"), (whole + 1).alias("copies")),
+        F.struct((F.col("equal") - F.col("extra")).alias("rows"), F.col("extra").alias("first"), whole.alias("copies")),
     )
-    return out.withColumn("copies", copies.cast("bigint")).select(
-        "doc_id", "key", "source", "rows", "size", "source_size", "target", "copies",
+    out = out.withColumn("part", F.explode(F.filter(parts, lambda p: p["rows"] > 0))).select("*", "part.*")
+    return out.select(
+        "doc_id", "key", "source", "rows", "first", "equal", "size", "source_size", "target", "copies",
         F.slice(F.coalesce(F.transform("drawn", lambda x: x["shard"]), F.array().cast("array<bigint>")), 1, F.col("copies").cast("int")).alias("shards"),
     )
 
@@ -162,10 +206,24 @@ def mix_plan(
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: every input column, one row per copy, with ``mix_shard`` and ``mix_turn``, the place in the
     shard's own shuffle. Write with ``repartition('mix_shard').sortWithinPartitions('mix_shard', 'mix_turn')``."""
-    plan = mix_plan(docs, **options).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("key").alias("_key"), F.col("shards").alias("_shards")
-    )
+    plan = cut_lineage(mix_plan(docs, **options).where("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("key").alias("_key"), F.col("shards").alias("_shards"),
+        F.col("first").alias("_first"), F.col("rows").alias("_rows"), F.col("equal").alias("_equal"),
+    ))
     d = docs.withColumn("_llm_key", F.xxhash64("doc_id", "text"))
-    met = d.join(plan, (d["_llm_key"] == plan["_key"]) & d["doc_id"].eqNullSafe(plan["_id"]) & d["source"].eqNullSafe(plan["_src"]))
-    out = met.select(*[met[c] for c in docs.columns], "_llm_key", F.posexplode("_shards").alias("_pass", "mix_shard"))
+
+    def meet(rows: DataFrame, part: DataFrame) -> DataFrame:
+        return rows.join(part, (rows["_llm_key"] == part["_key"]) & rows["doc_id"].eqNullSafe(part["_id"]) & rows["source"].eqNullSafe(part["_src"]))
+
+    own = [*docs.columns, "_llm_key"]
+    met = meet(d, plan.where("_rows = _equal")).select(*own, "_shards")
+    # Of the few items taken in part, rows equal in every column are one row with their number.
+    some = plan.where("_rows < _equal")
+    few = meet(d, some.select("_key", "_id", "_src").distinct()).groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy("_llm_key", "doc_id", "source").orderBy(*[F.xxhash64(c) for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()])
+    few = few.withColumn("_upto", F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    shared = F.least("_upto", F.col("_first") + F.col("_rows")) - F.greatest(F.col("_upto") - F.col("_n"), F.col("_first"))
+    few = meet(few, some).withColumn("_hit", shared).where("_hit > 0")
+    few = few.select(*own, "_shards", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_hit"))).alias("_no")).drop("_no")
+    out = met.unionByName(few).select(*own, F.posexplode("_shards").alias("_pass", "mix_shard"))
     return out.withColumn("mix_turn", F.xxhash64("mix_shard", "_llm_key", "_pass")).drop("_llm_key", "_pass")
