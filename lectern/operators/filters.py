@@ -109,16 +109,17 @@ def messages_of(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def nest_children(
-    parent: DataFrame, child: DataFrame, key: str, order: str, fields: list[str], block: int = 1000
+    parent: DataFrame, child: DataFrame, key: str, order: str, fields: list[str], block: int | None = None
 ) -> DataFrame:
-    """Children of every parent as ordered arrays.
+    """Children of every parent as ordered arrays: one row per parent, whatever the number of its children.
 
-    A parent with many children gets one row per ``block`` positions, so no array grows with the data;
-    parents without children keep one row with an empty array.
+    Only where the caller names a ``block``, a row holds that many positions and ``block_no`` is part of the key.
+    Parents without children keep one row with an empty array.
     """
     item = F.struct(F.col(order), *[F.col(f) for f in fields if f != order])
+    no = F.lit(0).cast("bigint") if block is None else F.floor(F.col(order) / block).cast("bigint")
     packed = (
-        child.withColumn("block_no", F.floor(F.col(order) / block).cast("bigint"))
+        child.withColumn("block_no", no)
         .groupBy(key, "block_no")
         .agg(F.array_sort(F.collect_list(item)).alias("children"))
     )

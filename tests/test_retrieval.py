@@ -197,3 +197,11 @@ def test_nested_children_are_split(spark):
     child = spark.createDataFrame([(1, i) for i in range(25)], "k int, pos int")
     rows = FL.nest_children(parent, child, "k", "pos", ["pos"], block=10).orderBy("k", "block_no").collect()
     assert [(r.k, r.block_no, len(r.children)) for r in rows] == [(1, 0, 10), (1, 1, 10), (1, 2, 5), (2, 0, 0)]
+
+
+def test_nested_children_are_one_row_of_any_length(spark):
+    parent = spark.createDataFrame([(1,), (2,)], "k int")
+    child = spark.createDataFrame([(1, i) for i in range(2499, -1, -1)] + [(1, None)], "k int, pos int")
+    rows = FL.nest_children(parent, child, "k", "pos", ["pos"]).orderBy("k").collect()
+    assert [(r.k, r.block_no, len(r.children)) for r in rows] == [(1, 0, 2501), (2, 0, 0)]
+    assert [c.pos for c in rows[0].children] == [None, *range(2500)]
