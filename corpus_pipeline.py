@@ -3,7 +3,8 @@
 1. ``toxicity``: documents that the classifier rejects go; it is fitted to the labels of the given folder.
 2. ``near_duplicates``: of every group of near copies one row stays, that with the smallest id.
 3. ``secrets``: all spans found are replaced by a mark, ``n_chars`` follows the text; no document goes.
-4. ``mixing``: sources come near their target weights; a document may come up to three times, or not at all.
+4. ``mixing``: sources come near their target weights; a document may come up to three times, or not at all. Rows are
+   written shard by shard, each in the order of its shuffle.
 5. ``packing``: pieces of token sequences with their places.
 
 The stages before the last keep the columns of their input. Nulls, empty tables, repeated rows and extra columns are
@@ -43,7 +44,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    # Every shard in its own shuffled order; the places go only after the rows stand there.
+    mixed = mixing.mix(docs).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_turn")
+    return mixed.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

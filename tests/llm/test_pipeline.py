@@ -3,6 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
+from lectern.llm import mixing
 from tests.llm.test_operators import WORDS, components_of, plain_fingerprint, texts
 
 
@@ -29,3 +30,17 @@ def test_one_row_of_every_class_stays(spark):
     assert kept == set(of)
     assert (100, x) in [r[:2] for r in got] and (90, y) in [r[:2] for r in got]
     assert corpus_pipeline.drop_copies(spark, d.where("false"), "").count() == 0
+
+
+def test_mixed_rows_are_written_in_the_order_of_their_shards(spark, tmp_path):
+    rows = [(i, f"text number {i} " * (i % 7 + 1), "abc"[i % 3]) for i in range(8000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "in"))
+    d = spark.read.parquet(str(tmp_path / "in"))
+    corpus_pipeline.mix_sources(spark, d, "").write.parquet(str(tmp_path / "out"))
+    out = [r.doc_id for f in sorted((tmp_path / "out").glob("*.parquet")) for r in spark.read.parquet(str(f)).select("doc_id").collect()]
+    places = {}
+    for r in mixing.mix(d).orderBy("mix_shard", "mix_turn").collect():
+        places.setdefault(r.mix_shard, []).append(r.doc_id)
+    joined = ",".join(map(str, ["", *out, ""]))
+    assert sum(map(len, places.values())) == len(out)
+    assert all("," + ",".join(map(str, ids)) + "," in joined for ids in places.values()), "a shard is one run in its order"
