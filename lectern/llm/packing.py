@@ -18,20 +18,20 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import tokens
+from lectern.llm.tokens import VOCABULARY  # noqa: F401
 from lectern.llm.common import text_of
 from lectern.operators.sizing import cut_lineage
 
 SIZE = 4096
-END = 2
 SLACK = 1 / 32
 WORKER_PIECES = 4096
-VOCABULARY = "word_bpe_49k.json"
-_CACHED = 300_000
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long"
+PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"]
+PIECE = ", ".join(f"{n} long" for n in PIECE_NAMES)
 
 
 def cuts(n: int, size: int = SIZE, slack: float = SLACK) -> list[int]:
@@ -49,45 +49,23 @@ def cuts(n: int, size: int = SIZE, slack: float = SLACK) -> list[int]:
     return out
 
 
-class Ids:
-    """Ids of texts. The vocabulary's pieces never span a blank, so parts between blanks are encoded once and kept."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > _CACHED:
-            self.kept.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.kept})
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.kept[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.kept.__getitem__, ws)) for ws in split]
-
-
 def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, slack: float = SLACK, vocabulary: str | None = None) -> DataFrame:
     """One narrow row per piece. ``vocabulary`` is the file's path on every worker."""
 
     def run(batches):
-        ids, end = Ids(vocabulary or public_tokenizers.path(VOCABULARY)), np.array([END], dtype="<u4").tobytes()
-        for pdf in batches:
-            for lo in range(0, len(pdf), 200):
-                part, rows = pdf.iloc[lo : lo + 200], []
-                for doc, got in zip(part["id"], ids.encode(part["t"].tolist())):
-                    got += end
-                    n, at = len(got) // 4, 0
-                    for i, length in enumerate(cuts(n, size, slack)):
-                        rows.append((doc, at, length, zlib.crc32(got[4 * at : 4 * (at + length)]), n, i))
+        ids = tokens.Ids(tokens.path(vocabulary))
+        for batch in batches:
+            for lo, got, bounds in ids.blocks(batch.column("t")):
+                raw, rows = memoryview(got).cast("B"), []
+                for doc, first, last in zip(batch.column("id")[lo : lo + len(bounds) - 1].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    at = 0
+                    for i, length in enumerate(cuts(last - first, size, slack)):
+                        spot = 4 * (first + at)
+                        rows.append((doc, at, length, zlib.crc32(raw[spot : spot + 4 * length]), last - first, i))
                         at += length
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"])
-                yield out.astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=PIECE_NAMES)
 
-    return docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t")).mapInPandas(run, PIECE)
+    return docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t")).mapInArrow(run, PIECE)
 
 
 def _fill(size: int):
