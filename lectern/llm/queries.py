@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, language, licenses, mixing, packing, quality, range_join, secrets, simhash, sql, toxicity
+from lectern.llm import (
+    chat, frames, language, licenses, mixing, packing, quality, range_join, secrets, simhash, sql, toxicity,
+)
 from lectern.llm.common import fold, read
+from lectern.operators.sizing import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,9 +96,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("_row")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = run_dir(spark, "token-files")
+    frames.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return frames.read(spark, path, content="digest")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets, "op2_language": op2_language, "op3_packing": op3_packing, "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_range_join": op7_range_join,
     "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing,
+    "op12_token_files": op12_token_files,
 }
 ORACLES: dict[str, str] = {"op1_secrets": sql.secrets_sql(), "op6_quality": sql.quality_sql(), "op8_chat": sql.CHAT_SQL}
