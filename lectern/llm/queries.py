@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (
-    chat, frames, language, licenses, mixing, packing, quality, range_join, secrets, simhash, sql, toxicity,
+    chat, frames, language, licenses, merkle, mixing, packing, quality, range_join, secrets, simhash, sql, toxicity,
 )
 from lectern.llm.common import fold, read
 from lectern.operators.sizing import run_dir
@@ -102,10 +102,19 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.read(spark, path, content="digest")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(*merkle.COLUMNS)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    d = merkle.manifest(docs, carry={"tampered": merkle.leaf(text=tampered)})
+    folded = merkle.folded(F.col("tampered"), F.col("proof"))
+    d = d.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"), folded.alias("folded_root"))
+    return d.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets, "op2_language": op2_language, "op3_packing": op3_packing, "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_range_join": op7_range_join,
     "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing,
-    "op12_token_files": op12_token_files,
+    "op12_token_files": op12_token_files, "op13_merkle": op13_merkle,
 }
-ORACLES: dict[str, str] = {"op1_secrets": sql.secrets_sql(), "op6_quality": sql.quality_sql(), "op8_chat": sql.CHAT_SQL}
+ORACLES: dict[str, str] = {"op1_secrets": sql.secrets_sql(), "op6_quality": sql.quality_sql(), "op8_chat": sql.CHAT_SQL, "op13_merkle": sql.MERKLE_SQL}

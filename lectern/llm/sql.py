@@ -76,3 +76,59 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+# The CRC of a text bit by bit; only its parity is asked for.
+_CRC_ODD = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), c -> ord(c)::BIGINT)), "
+    "(a, b) -> list_reduce(list_prepend(xor(a, b), repeat([0::BIGINT], 8)), (x, y) -> xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) & 1"
+)
+
+MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER () AS row_no,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS node, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM (
+    SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf,
+      CASE WHEN {_CRC_ODD} = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS tampered
+    FROM documents
+  )
+), low AS (
+  SELECT 0 AS height, tree, node, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL
+  SELECT height + 1, tree, node // 3, sha256(string_agg(digest, '' ORDER BY node)), (any_value(n) + 2) // 3
+  FROM low WHERE n > 1 GROUP BY height, tree, node // 3
+), subroots AS (SELECT tree, digest, height FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS height, tree AS node, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT height + 1, node // 3, sha256(string_agg(digest, '' ORDER BY node)), (any_value(n) + 2) // 3 FROM high WHERE n > 1 GROUP BY height, node // 3
+), steps AS (
+  SELECT row_no, low.height, low.node, low.digest, low.node < leaves.node // pow(3, low.height)::BIGINT AS is_left
+  FROM leaves JOIN low ON low.tree = leaves.tree AND low.node // 3 = leaves.node // pow(3, low.height + 1)::BIGINT
+    AND low.node <> leaves.node // pow(3, low.height)::BIGINT
+  UNION ALL
+  SELECT row_no, 1000 + high.height, high.node, high.digest, high.node < tree // pow(3, high.height)::BIGINT
+  FROM leaves JOIN high ON high.node // 3 = tree // pow(3, high.height + 1)::BIGINT AND high.node <> tree // pow(3, high.height)::BIGINT
+), levels AS (
+  -- A run of one node is hashed, too, so every level below a root counts.
+  SELECT row_no, height, row_number() OVER (PARTITION BY row_no ORDER BY height) AS step FROM (
+    SELECT row_no, unnest(range(subroots.height)) AS height FROM leaves JOIN subroots USING (tree)
+    UNION ALL SELECT row_no, 1000 + unnest(range((SELECT max(height) FROM high))) FROM leaves
+  )
+), sides AS (
+  SELECT row_no, step, coalesce(string_agg(digest, '' ORDER BY node) FILTER (is_left), '') AS l,
+    coalesce(string_agg(digest, '' ORDER BY node) FILTER (NOT is_left), '') AS r
+  FROM levels LEFT JOIN steps USING (row_no, height) GROUP BY row_no, step
+), folds AS (
+  SELECT row_no, 0::BIGINT AS step, tampered AS d FROM leaves
+  UNION ALL
+  SELECT folds.row_no, sides.step, sha256(l || d || r) FROM folds JOIN sides ON sides.row_no = folds.row_no AND sides.step = folds.step + 1
+), proofs AS (SELECT row_no, string_agg(digest, '' ORDER BY height, node) AS proof FROM steps GROUP BY row_no)
+SELECT doc_id, leaf, subroots.digest AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (tree) LEFT JOIN proofs USING (row_no)
+JOIN (SELECT row_no, arg_max(d, step) AS folded_root FROM folds GROUP BY row_no) USING (row_no)
+CROSS JOIN (SELECT digest AS root FROM high WHERE n = 1)
+"""
