@@ -82,8 +82,8 @@ _FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
 # The CRC of a text bit by bit; only its parity is asked for.
 _CRC_ODD = (
-    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), c -> ord(c)::BIGINT)), "
-    "(a, b) -> list_reduce(list_prepend(xor(a, b), repeat([0::BIGINT], 8)), (x, y) -> xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) & 1"
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), repeat([0::BIGINT], 8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) & 1"
 )
 
 MERKLE_SQL = f"""
@@ -92,7 +92,7 @@ WITH RECURSIVE leaves AS (
     row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS node, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
   FROM (
     SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf,
-      CASE WHEN {_CRC_ODD} = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS tampered
+      CASE WHEN doc_id IS NOT NULL AND {_CRC_ODD} = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS tampered
     FROM documents
   )
 ), low AS (
