@@ -25,13 +25,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from lectern.llm.common import numbered
 from lectern.operators.sizing import cut_lineage
 
 ARITY = 3
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
-BLOCK_ROWS = 50_000
 
 
 def field(c: Column) -> Column:
@@ -50,27 +49,6 @@ def leaf(columns=COLUMNS, **changed: Column) -> Column:
     return digest(*[field(changed.get(c, F.col(f"`{c}`"))) for c in columns])
 
 
-def numbered(rows: DataFrame, tree: str, order: list[Column]) -> DataFrame:
-    """``node``: the place of every row in its tree, from 0, without a window over a whole tree.
-
-    Rows are sorted by range over all partitions; a row's place is the number of its tree's rows in earlier partitions and
-    its place in its own. The counts are one narrow row per tree and partition.
-    """
-    spark = rows.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK_ROWS))
-    spread = rows.repartitionByRange(n, F.col(tree).asc_nulls_first(), *order)
-    # Written with its partition number: both uses see the same rows.
-    spread = cut_lineage(spread.withColumn("_part", F.spark_partition_id()))
-    sizes = spread.groupBy(tree, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(tree).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    sizes = sizes.select(F.col(tree).alias("_t"), F.col("_part").alias("_p"), "_before")
-    inner = F.row_number().over(Window.partitionBy("_part", tree).orderBy(*order)) - 1
-    placed = spread.withColumn("_at", inner)
-    met = placed.join(sizes, (placed["_part"] == sizes["_p"]) & placed[tree].eqNullSafe(sizes["_t"]))
-    return met.withColumn("node", (F.col("_before") + F.col("_at")).cast("long")).drop("_t", "_p", "_before", "_at", "_part")
-
-
 def with_siblings(level: DataFrame, arity: int = ARITY) -> DataFrame:
     """Nodes of a level with the digests of their run's slots ``d0 .. d(arity - 1)``; missing ones are null."""
     run, slot = F.floor(F.col("node") / arity).cast("long"), (F.col("node") % arity).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (
-    chat, frames, language, licenses, merkle, mixing, packing, quality, range_join, secrets, simhash, sql, toxicity,
+    chat, frames, language, licenses, merkle, mixing, packing, quality, range_join, repair, secrets, simhash, sql, toxicity,
 )
 from lectern.llm.common import fold, read
 from lectern.operators.sizing import run_dir
@@ -96,6 +96,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("_row")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    d = repair.repair(repair.damage(rows), rows.select(F.col("conv_id").cast("long").alias("conv")))
+    return d.withColumnRenamed("conv", "conv_id")
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "token-files")
     frames.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -115,6 +121,6 @@ QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets, "op2_language": op2_language, "op3_packing": op3_packing, "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_range_join": op7_range_join,
     "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing,
-    "op12_token_files": op12_token_files, "op13_merkle": op13_merkle,
+    "op11_repair": op11_repair, "op12_token_files": op12_token_files, "op13_merkle": op13_merkle,
 }
 ORACLES: dict[str, str] = {"op1_secrets": sql.secrets_sql(), "op6_quality": sql.quality_sql(), "op8_chat": sql.CHAT_SQL, "op13_merkle": sql.MERKLE_SQL}
