@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.llm.common import lower_ascii, text_of
+from lectern.operators.sizing import cut_lineage
 
 K = 3
 DRIFT = 3
@@ -63,9 +64,18 @@ def _passages() -> list[tuple[str, str]]:
 
 
 def _chains(i: np.ndarray, j: np.ndarray, n: int, share: float) -> list[tuple[int, int, float]]:
-    """Spans ``(start, end, share)`` of the hits at words ``i`` of the text and ``j`` of a template of ``n`` words."""
-    order, out = np.lexsort((j, i)), []
+    """Spans ``(start, end, share)`` of the hits at words ``i`` of the text and ``j`` of a template of ``n`` words.
+
+    No chain crosses a gap wider than the template, so the stretches between such gaps are searched apart.
+    """
+    order = np.lexsort((j, i))
     i, j = i[order], j[order]
+    cut = np.flatnonzero(np.diff(i) > n + DRIFT) + 1
+    return [s for a, b in zip(np.split(i, cut), np.split(j, cut)) for s in _stretch(a, b, n, share)]
+
+
+def _stretch(i: np.ndarray, j: np.ndarray, n: int, share: float) -> list[tuple[int, int, float]]:
+    out = []
     while K * len(i) >= share * n:
         best, back = np.full(len(i), K), np.full(len(i), -1)
         for p in range(1, len(i)):
@@ -112,7 +122,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[st
     d = docs.select(F.col(key).alias("id"), F.xxhash64(t, F.length(t)).alias("h"), words.alias("w"))
     starts = F.when(F.size("w") >= K, F.sequence(F.lit(0), F.size("w") - K)).otherwise(F.array().cast("array<int>"))
     grams = F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *[F.get("w", i + j) for j in range(K)]).alias("g"), i.alias("i")))
-    # One more entry carries the number of words, so that the texts are read and cut once.
+    # One more entry carries the number of words.
     number = F.array(F.struct(F.lit(_COUNT).alias("g"), F.size("w").alias("i")))
     g = d.select("id", "h", F.explode(F.concat(number, grams)).alias("x")).select("id", "h", F.col("x.g").alias("gram"), F.col("x.i").alias("at"))
     g = g.withColumn("code", F.xxhash64("gram"))
@@ -123,6 +133,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[st
     per = votes.groupBy("id", "h", "template", "label", "base", "n_grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.collect_set("place").alias("places"), F.count(F.lit(1)).alias("n")
     )
+    # Written once: filters of its three uses would be pushed below the exchange and the texts read for each.
+    per = cut_lineage(per)
     exact = per.where(F.col("base") & (F.size("places") == F.col("n_grams"))).select(
         "id", "h", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_grams") + (K - 1)).alias("end"), "label", "base", F.lit(1.0).alias("share")
     )
