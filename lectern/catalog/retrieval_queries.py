@@ -9,6 +9,8 @@ from lectern.catalog import sqltext as S
 from lectern.catalog.registry import query
 from lectern.operators import filters as FL
 from lectern.operators import retrieval as R
+from lectern.operators import vector_search as V
+from lectern.operators.sizing import run_dir
 from lectern.sources.tables import read_table
 
 OWN = f"""{S.CHUNKS}, {S.QUERIES},
@@ -71,7 +73,6 @@ def bm25_topk_shared(spark, sf):
 @query("bm25_topk_stored_index", f"WITH {OWN}, {S.bm25('oc', 'oq', 5)} {RANKED} bm25")
 def bm25_topk_stored_index(spark, sf):
     """The same from index tables written first, as a service would keep them."""
-    from lectern.operators.sizing import run_dir
     from lectern.sources.tables import read_index, write_index
 
     q, c = FL.scope(I.queries(spark, sf), I.chunks(spark, sf))
@@ -109,6 +110,40 @@ def vector_neighbours_lsh(spark, sf):
     return ranked(R.lsh_search(q, c, threshold=0.1))
 
 
+@query("vector_index_topk", f"WITH {UNITS_ALL}, {S.vector('oc', 'oq', 20, 0.1)} {RANKED} vec")
+def vector_index_topk(spark, sf):
+    """Through the stored index, with every cell probed: the exact result."""
+    q, c = FL.scope(I.vector_queries(spark, sf), I.units(spark, sf), True)
+    path = run_dir(spark, "vector-index")
+    V.build_index(c, path)
+    return ranked(V.index_search(spark, q, path, 20, 0.1, probes=V.MOST_CELLS))
+
+
+@query("vector_index_recall", f"""WITH {UNITS_ALL}, {S.vector('oc', 'oq', 20, 0.0)}
+SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS recall_reached, true AS fewer_scanned FROM vec""")
+def vector_index_recall(spark, sf):
+    """Of the true 20 nearest, at least 0.9 are found with the calibrated probes, and not all vectors are compared."""
+    q, c = FL.scope(I.vector_queries(spark, sf), I.units(spark, sf), True)
+    path = run_dir(spark, "vector-index")
+    V.build_index(c, path)
+    exact = V.vector_search(q, c, 20, 0.0, scoped=True).select("query_id", "chunk_id")
+    found = V.index_search(spark, q, path, 20, 0.0).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    hits = exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+    return hits.join(V.scanned_share(spark, q, path), "query_id").agg(
+        F.count(F.lit(1)).alias("queries"), F.sum("n").alias("neighbours"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("recall_reached"),
+        (F.sum("scanned") < F.sum("stored")).alias("fewer_scanned"),
+    )
+
+
+@query("vector_index_owners", f"WITH {UNITS_OWN}, {S.vector('oc', 'oq', 5, 0.0)} {RANKED} vec")
+def vector_index_owners(spark, sf):
+    """One index for all owners; a query sees its own rows only."""
+    q, c = FL.scope(I.vector_queries(spark, sf), I.units(spark, sf))
+    path = run_dir(spark, "vector-index")
+    V.build_index(c, path)
+    return ranked(V.index_search(spark, q, path, 5, 0.0, probes=V.MOST_CELLS))
+
+
 @query("label_cosines", f"""SELECT a.vec_id, round({S.cosine('a.embedding', 'b.embedding')}, 6) AS score
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.label""")
 def label_cosines(spark, sf):

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,12 +17,7 @@ from lectern.config import DEFAULTS
 from lectern.functions import text as tx
 from lectern.operators.filters import scope
 from lectern.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, measure, small_side
-
-# Scores are compared at this precision, so equal texts tie and the smaller id wins.
-RANK_DIGITS = 9
-# Query vectors that one pass over the chunks may hold in a task.
-PASS_ROWS = 20_000
-PASS_BYTES = BROADCAST_BYTES
+from lectern.operators.vector_search import RANK_DIGITS, vector_search
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int | Column, rank: str = "rank") -> DataFrame:
@@ -197,93 +191,6 @@ def bm25_search(
 
 
 # --- vectors -------------------------------------------------------------------------------------
-def _prune(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    found = found.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
-    return found.groupby("q", sort=False).head(k)
-
-
-def _block_search(spark, rows: list, chunks: DataFrame, k: int, threshold: float) -> DataFrame:
-    """One pass over the chunks for one block of query vectors of bounded size."""
-    by_scope: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for sc in {r["scope"] for r in rows}:
-        own = [r for r in rows if r["scope"] == sc]
-        by_scope[sc] = (
-            np.array([r["query_id"] for r in own], dtype=object),
-            [np.asarray(r["embedding"], dtype=np.float64) for r in own],
-        )
-    shipped = spark.sparkContext.broadcast(by_scope)
-    id_type = chunks.schema["chunk_id"].dataType.simpleString()
-    q_type = "bigint" if rows and isinstance(rows[0]["query_id"], int) else "string"
-
-    def search(batches):
-        blocks = {}
-        for sc, (ids, vectors) in shipped.value.items():
-            for dim in {len(v) for v in vectors}:
-                pick = [i for i, v in enumerate(vectors) if len(v) == dim]
-                m = np.stack([vectors[i] for i in pick]) if dim else np.zeros((len(pick), 0))
-                blocks[(sc, dim)] = (ids[pick], m, np.sqrt((m * m).sum(axis=1)))
-        kept: list[pd.DataFrame] = []
-        waiting = 0
-        for batch in batches:
-            dims = batch["embedding"].map(len)
-            for (sc, dim), part in batch.groupby(["scope", dims], sort=False):
-                if (sc, dim) not in blocks:
-                    continue
-                ids, m, q_norm = blocks[(sc, dim)]
-                c = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                norms = np.outer(np.sqrt((c * c).sum(axis=1)), q_norm)
-                cos = np.divide(c @ m.T, norms, out=np.zeros_like(norms), where=norms > 0)
-                cos = np.round(np.clip(cos, 0.0, 1.0), RANK_DIGITS)
-                if len(part) > k:
-                    # Nothing below a query's k-th best value of this block can be among its best k.
-                    floor = np.partition(cos, len(part) - k, axis=0)[len(part) - k]
-                    rows_i, cols_i = np.nonzero((cos >= threshold) & (cos >= floor))
-                else:
-                    rows_i, cols_i = np.nonzero(cos >= threshold)
-                kept.append(pd.DataFrame({
-                    "q": ids[cols_i], "chunk_id": part["chunk_id"].to_numpy()[rows_i], "score": cos[rows_i, cols_i],
-                }))
-                waiting += len(rows_i)
-            if waiting > 200_000:
-                kept = [_prune(pd.concat(kept), k)]
-                waiting = len(kept[0])
-        if kept:
-            yield _prune(pd.concat(kept), k).rename(columns={"q": "query_id"})[["query_id", "chunk_id", "score"]]
-
-    usable = chunks.where(F.col("embedding").isNotNull()).select("scope", "chunk_id", "embedding")
-    return usable.mapInPandas(search, f"query_id {q_type}, chunk_id {id_type}, score double")
-
-
-def vector_search(
-    queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, threshold: float = DEFAULTS.threshold,
-    shared: bool = False, scoped: bool = False,
-) -> DataFrame:
-    """Exact best ``k`` chunks per query by cosine similarity, at least ``threshold``.
-
-    Query vectors of measured size travel to the chunks, every task multiplies its Arrow blocks with them
-    and passes on at most ``k`` rows per query: the chunks themselves are never shuffled or paired. More
-    queries than one pass may hold are split by a hash of their id into several passes.
-    """
-    if not scoped:
-        queries, chunks = scope(queries, chunks, shared)
-    spark = queries.sparkSession
-    q = queries.where(F.col("embedding").isNotNull()).select("query_id", "scope", "embedding")
-    rows, size = measure(q, PASS_ROWS)
-    if rows <= PASS_ROWS and size <= PASS_BYTES:
-        slices = [q]
-    else:
-        total = q.agg(F.count(F.lit(1)), F.sum(F.size("embedding") * 8 + 64)).first()
-        n = 2 * (1 + max(total[0] // PASS_ROWS, int(total[1] or 0) // PASS_BYTES))
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        slices = [q.where(slot == i) for i in range(n)]
-    found = None
-    for part in slices:
-        # A slice is bounded by the measurement above.
-        hits = _block_search(spark, part.collect(), chunks, k, threshold)
-        found = hits if found is None else found.unionByName(hits)
-    return top_k(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
-
-
 def lsh_search(
     queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, threshold: float = DEFAULTS.threshold,
     bucket_length: float = 0.8, tables: int = 6, seed: int = 7,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import filters as FL
 from lectern.operators import retrieval as R
+from lectern.operators import vector_search as VS
 
 CHUNKS = "chunk_id string, doc_id long, user_id string, content string, embedding array<float>"
 QUERIES = "query_id long, user_id string, text string, embedding array<float>"
@@ -118,11 +119,13 @@ def cosines(rows, queries, k, threshold, shared):
 
 
 @pytest.mark.parametrize("shared", [False, True])
-@pytest.mark.parametrize("passes", [False, True])
-def test_vector_search_is_exact(spark, shared, passes, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_vector_search_is_exact(spark, shared, small, monkeypatch):
     rows, queries = corpus(7), asked(8)
-    if passes:
-        monkeypatch.setattr(R, "PASS_ROWS", 5)
+    if small:
+        # Many slices and tiles; hits are dropped on the way.
+        for name, value in (("SLICE_ROWS", 7), ("BLOCK_ROWS", 3), ("_HELD", 2)):
+            monkeypatch.setattr(VS, name, value)
     q, c = spark.createDataFrame(queries, QUERIES), spark.createDataFrame(rows, CHUNKS)
     got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in R.vector_search(q, c, 4, 0.2, shared).collect()}
     assert got == cosines(rows, queries, 4, 0.2, shared)
@@ -205,3 +208,52 @@ def test_nested_children_are_one_row_of_any_length(spark):
     rows = FL.nest_children(parent, child, "k", "pos", ["pos"]).orderBy("k").collect()
     assert [(r.k, r.block_no, len(r.children)) for r in rows] == [(1, 0, 2501), (2, 0, 0)]
     assert [c.pos for c in rows[0].children] == [None, *range(2500)]
+
+
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    rows = corpus(11, 300)
+    c = spark.createDataFrame(rows, CHUNKS)
+    path = str(tmp_path_factory.mktemp("index"))
+    VS.build_index(FL.scope(None or spark.createDataFrame(asked(12), QUERIES), c, True)[1], path, cells=6)
+    return rows, path
+
+
+def test_index_with_all_cells_is_exact(spark, index):
+    rows, path = index
+    q = FL.scope(spark.createDataFrame(asked(13), QUERIES), spark.createDataFrame(rows, CHUNKS), True)[0]
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in VS.index_search(spark, q, path, 4, 0.2, probes=6).collect()}
+    assert got == cosines(rows, asked(13), 4, 0.2, True)
+
+
+def test_index_reads_probed_cells_alone(spark, index):
+    rows, path = index
+    q = FL.scope(spark.createDataFrame(asked(13), QUERIES), spark.createDataFrame(rows, CHUNKS), True)[0]
+    near = VS.index_probes(spark, q, path, 1)
+    read = VS.probed(spark, near, path)
+    plan = read._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower()
+    cells = {r.cell for r in near.collect()}
+    assert {r.cell for r in read.collect()} <= cells
+    share = VS.scanned_share(spark, q, path, 1).collect()
+    stored = sum(r[4] is not None for r in rows)
+    assert share and all(0 < r.scanned < r.stored == stored for r in share)
+    exact = {(k[0], v[0]) for k, v in cosines(rows, asked(13), 4, 0.2, True).items()}
+    found = {(r.query_id, r.chunk_id) for r in VS.index_search(spark, q, path, 4, 0.2).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_index_odd_vectors(spark, tmp_path):
+    kind = "chunk_id string, user_id string, embedding array<float>"
+    nan = float("nan")
+    rows = [("a", "x", [1.0, 0.0]), ("b", "x", [0.0, 0.0]), ("c", "y", [1.0, 0.1]), ("d", "x", [1.0, 0.0, 0.0]), ("e", "x", None), ("f", "x", [nan, 1.0]), ("g", None, [1.0, 0.0]), ("h", "x", [])]
+    c = spark.createDataFrame(rows, kind)
+    q = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "x", [2.0, 0.0, 0.0]), (3, "z", [1.0, 0.0]), (4, "x", None)], "query_id long, user_id string, embedding array<float>")
+    sq, sc = FL.scope(q, c)
+    VS.build_index(sc, str(tmp_path / "i"))
+    want = [(1, "a", 1.0), (2, "d", 1.0)]
+    assert [(r.query_id, r.chunk_id, r.score) for r in VS.index_search(spark, sq, str(tmp_path / "i"), 5, 0.5).orderBy("query_id").collect()] == want
+    assert [(r.query_id, r.chunk_id, r.score) for r in VS.vector_search(q, c, 5, 0.5).orderBy("query_id").collect()] == want
+    VS.build_index(sc.where("false"), str(tmp_path / "none"))
+    assert VS.index_search(spark, sq, str(tmp_path / "none")).count() == 0
+    assert VS.vector_search(q, c.where("false")).count() == 0 and VS.vector_search(q.where("false"), c).count() == 0
