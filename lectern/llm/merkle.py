@@ -100,6 +100,8 @@ def climb(leaves: DataFrame, arity: int = ARITY) -> tuple[DataFrame, DataFrame]:
         met = met.withColumn("proof", F.concat(F.array(F.struct(left.alias("left"), right.alias("right"))), "_up"))
         own = [c for c in ended.columns if c != "last"]
         paths = met.select(*own, "proof").unionByName(ended.select(*own, none))
+        # The last, widest level stays a plan; the ones above are written, so that no plan holds all levels.
+        paths = paths if joined is levels[0] else cut_lineage(paths)
     return roots, paths
 
 
@@ -124,8 +126,8 @@ def manifest(rows: DataFrame, columns=COLUMNS, tree: str = "source", key: str =
     trees = cut_lineage(trees)
     leaves = leaves.join(trees, leaves["_tree"].eqNullSafe(trees["_name"])).drop("_name", "_tree")
     subroots, proved = climb(leaves, arity)
-    subroots = cut_lineage(subroots)
-    root, ways = climb(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("node"), F.col("root").alias("digest")), arity)
+    top = cut_lineage(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("node"), F.col("root").alias("digest")))
+    root, ways = climb(top, arity)
     # One digest; an empty table has none.
     found = root.first()
     ways = ways.select(F.col("node").alias("_sub"), F.col("digest").alias("subroot"), F.col("proof").alias("_way"))
