@@ -113,6 +113,24 @@ def redacted_payloads(spark, sf):
     return e.select("event_id", m["k"].alias("k"), m["user_Token"].alias("secret"))
 
 
+@query("redacted_nested", """SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '{"level1": [{"token": "[REDACTED]", "id": "' || user_id || '"}, {"nested_auth": {"Bearer": "[REDACTED]"}}], "k": '
+    || (props->>'k') || ', "deep": {"a": [[{"my_Secret_list": "[REDACTED]"}]]}}'
+  WHEN user_id % 3 = 1 THEN props ELSE '[REDACTED]' END AS payload, '{"password":"[REDACTED]","plain":"' || user_id || '"}' AS typed FROM events""")
+def redacted_nested(spark, sf):
+    """Secrets below objects and lists of any depth, in text that is no JSON, and in a map of numbers."""
+    from lectern.operators.telemetry import redact_struct, redact_text
+
+    e, leak = I.events(spark, sf), F.md5("props")
+    nested = F.concat(
+        F.lit('{"level1":[{"token":"'), leak, F.lit('","id":"'), F.col("user_id").cast("string"), F.lit('"},{"nested_auth":{"Bearer":{"x":"'), leak,
+        F.lit('"}}}],"k":'), F.get_json_object("props", "$.k"), F.lit(',"deep":{"a":[[{"my_Secret_list":["'), leak, F.lit('"]}]]}}'),
+    )
+    broken = F.concat(F.lit('{"token": "'), leak)
+    text = F.when(F.col("user_id") % 3 == 0, nested).when(F.col("user_id") % 3 == 1, F.col("props")).otherwise(broken)
+    e = e.withColumn("payload", redact_text(text)).withColumn("typed", F.create_map(F.lit("password"), F.col("event_id"), F.lit("plain"), F.col("user_id")))
+    return redact_struct(e, "typed").select("event_id", "payload", F.to_json("typed").alias("typed"))
+
+
 @query("cited_sources", r"""WITH t AS (SELECT conv_id, turn, '[Source ' || turn || '] ' || role || ' [Source 12][Source ' || (conv_id % 7) || ']' AS s FROM conversations)
 SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(s, '\[Source (\d+)\]', 1), lambda x: x::BIGINT))), ',') AS refs FROM t""")
 def cited_sources(spark, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,8 +189,15 @@ def to_log(results: DataFrame, metrics: DataFrame, reranking: bool = True) -> Da
 
 
 # --- redaction of payloads -----------------------------------------------------------------------
+def _sensitive(key: Column) -> Column:
+    return F.lower(key).rlike(tx.SENSITIVE_PATTERN)
+
+
 def redact_struct(df: DataFrame, column: str) -> DataFrame:
-    """Replace the values of sensitive keys inside a nested column, from its schema alone."""
+    """Replace the values of sensitive keys inside a nested column, from its schema alone.
+
+    A map whose values are no text becomes a map of texts: the mark where the key is sensitive, otherwise the value's JSON.
+    """
 
     def walk(c: Column, t: T.DataType) -> Column:
         if isinstance(t, T.StructType):
@@ -198,23 +208,60 @@ def redact_struct(df: DataFrame, column: str) -> DataFrame:
             return F.when(c.isNotNull(), F.struct(*fields))
         if isinstance(t, T.ArrayType):
             return F.transform(c, lambda x: walk(x, t.elementType))
-        if isinstance(t, T.MapType) and isinstance(t.valueType, T.StringType):
-            return F.transform_values(
-                c, lambda k, v: F.when(F.lower(k).rlike(tx.SENSITIVE_PATTERN), F.lit(V.REDACTED)).otherwise(v)
-            )
         if isinstance(t, T.MapType):
-            return F.transform_values(c, lambda k, v: walk(v, t.valueType))
+            inner = t.valueType
+            if isinstance(inner, T.StringType):
+                return F.transform_values(c, lambda k, v: F.when(_sensitive(k), F.lit(V.REDACTED)).otherwise(v))
+            nested = isinstance(inner, (T.StructType, T.ArrayType, T.MapType))
+            text = (lambda v: F.to_json(walk(v, inner))) if nested else (lambda v: v.cast("string"))
+            return F.transform_values(c, lambda k, v: F.when(_sensitive(k), F.lit(V.REDACTED)).otherwise(text(v)))
         return c
 
     return df.withColumn(column, walk(F.col(column), df.schema[column].dataType))
 
 
+def _sanitized(value):
+    """A parsed payload without the values of sensitive keys, at any depth; a stack of its own, no recursion."""
+    top = [value]
+    todo = [top]
+    while todo:
+        held = todo.pop()
+        for key, item in list(held.items() if isinstance(held, dict) else enumerate(held)):
+            if isinstance(held, dict) and any(word in key.lower() for word in V.SENSITIVE_KEYS):
+                held[key] = V.REDACTED
+            elif isinstance(item, (dict, list)):
+                todo.append(item)
+    return top[0]
+
+
+@F.pandas_udf(T.StringType())
+def _redact_text(texts: pd.Series) -> pd.Series:
+    def one(text):
+        if text is None:
+            return None
+        try:
+            return json.dumps(_sanitized(json.loads(text)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            # What cannot be read cannot be told to be harmless.
+            return V.REDACTED
+
+    return texts.map(one)
+
+
+def redact_text(text: str | Column) -> Column:
+    """Redacted copy of JSON text of any depth. Texts that hold no sensitive word and no escaped one never reach Python
+    and stay as they are; one that does and is no JSON is replaced by the mark."""
+    c = tx.as_col(text)
+    risky = _sensitive(c) | F.contains(c, F.lit("\\u"))
+    return F.when(risky, _redact_text(F.when(risky, c))).otherwise(c)
+
+
 def redact_json(text: str | Column) -> Column:
-    """Redacted copy of a flat JSON object given as text: a map of the raw values, keys sorted."""
-    m = F.from_json(tx.as_col(text), "map<string,string>")
-    return F.transform_values(
-        m, lambda k, v: F.when(F.lower(k).rlike(tx.SENSITIVE_PATTERN), F.lit(V.REDACTED)).otherwise(v)
-    )
+    """Redacted copy of a JSON object given as text: a map of the raw values, keys sorted. Nested values are redacted, too."""
+    c = tx.as_col(text)
+    nested = c.rlike(r"(?s)^.+[\[{]")
+    m = F.from_json(F.when(nested, redact_text(F.when(nested, c))).otherwise(c), "map<string,string>")
+    return F.transform_values(m, lambda k, v: F.when(_sensitive(k), F.lit(V.REDACTED)).otherwise(v))
 
 
 # --- paging --------------------------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -142,6 +143,29 @@ def test_redaction_of_nested_payloads(spark):
     assert (p.user_token, p.ok[0].Password, p.ok[0].n, p.m) == ("[REDACTED]", "[REDACTED]", 1, {"api_key": "[REDACTED]", "b": "c"})
 
 
+def test_redaction_at_any_depth(spark):
+    deep = '{"a": ' * 60 + '{"api_key": [1, {"x": 2}]}' + "}" * 60
+    texts = [
+        '{"level1": [{"token": "t", "id": "123"}, {"nested_auth": {"bearer": {"b": 1}}}]}', deep, '[{"User_Password": null}, 1.5, "secret in a text"]',
+        '{"pass\\u0077ord": "hidden"}', '{"plain": [1, {"k": "v"}]}', '{"token": "cut', None, "", '"token"', "[" * 5000 + '"secret"' + "]" * 5000,
+    ]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(N.redact_text("t"), "i").orderBy("i").collect()]
+    assert json.loads(got[0]) == {"level1": [{"token": "[REDACTED]", "id": "123"}, {"nested_auth": {"bearer": "[REDACTED]"}}]}
+    assert got[1].count("[REDACTED]") == 1 and '"x"' not in got[1] and json.loads(got[1])
+    assert json.loads(got[2]) == [{"User_Password": "[REDACTED]"}, 1.5, "secret in a text"]
+    assert json.loads(got[3]) == {"password": "[REDACTED]"} and got[4] == texts[4]
+    assert got[5] == "[REDACTED]" and got[6] is None and got[7] == "" and got[8] == '"token"' and got[9] in (texts[9], "[REDACTED]")
+    flat = spark.createDataFrame([('{"k": 1, "n": {"secret": "s", "o": [{"token": 1}]}, "Api_Key": "z"}',)], "t string").select(N.redact_json("t").alias("m")).first().m
+    assert flat["k"] == "1" and flat["Api_Key"] == "[REDACTED]" and json.loads(flat["n"]) == {"secret": "[REDACTED]", "o": [{"token": "[REDACTED]"}]}
+
+
+def test_redaction_of_typed_maps(spark):
+    df = spark.sql("SELECT map('password', 5, 'n', 7) AS a, map('x', named_struct('secret', 's', 'o', 1), 'token', named_struct('secret', 't', 'o', 2)) AS b")
+    row = N.redact_struct(N.redact_struct(df, "a"), "b").first()
+    assert row.a == {"password": "[REDACTED]", "n": "7"}
+    assert row.b == {"x": '{"secret":"[REDACTED]","o":1}', "token": "[REDACTED]"}
+
+
 def test_paging(spark):
     logs = spark.range(30).select(F.col("id").alias("log_id"), F.lit("u").alias("user_id"), F.when(F.col("id") % 2 == 0, "hybrid").otherwise("none").alias("retrieval_method"), F.col("id").alias("created_at"))
     rows, total = N.audit_log(logs, "u", "hybrid", 2, 3)
