@@ -8,6 +8,7 @@ from lectern.catalog import inputs as I
 from lectern.catalog import sqltext as S
 from lectern.catalog.registry import query
 from lectern.operators import filters as FL
+from lectern.operators import postings as P
 from lectern.operators import retrieval as R
 from lectern.operators import vector_search as V
 from lectern.operators.sizing import run_dir
@@ -81,6 +82,33 @@ def bm25_topk_stored_index(spark, sf):
     return ranked(R.bm25_search(q, None, index=read_index(spark, path)))
 
 
+@query("bm25_topk_pruned", f"WITH {ALL}, {S.bm25('oc', 'oq', 5)} {RANKED} bm25")
+def bm25_topk_pruned(spark, sf):
+    """Through stored postings with upper bounds: the blocks that can matter are read, the result is exact."""
+    q, c = FL.scope(I.queries(spark, sf), I.chunks(spark, sf), True)
+    path = run_dir(spark, "postings")
+    P.build(c, path)
+    return ranked(P.search(spark, q, path))
+
+
+@query("bm25_topk_pruned_owners", f"WITH {OWN}, {S.bm25('oc', 'oq', 5)} {RANKED} bm25")
+def bm25_topk_pruned_owners(spark, sf):
+    q, c = FL.scope(I.queries(spark, sf), I.chunks(spark, sf))
+    path = run_dir(spark, "postings")
+    P.build(c, path)
+    return ranked(P.search(spark, q, path))
+
+
+@query("bm25_blocks_read", f"""WITH {ALL}, {S.bm25('oc', 'oq', 5)}
+SELECT count(*) AS queries, true AS fewer_read FROM (SELECT DISTINCT query_id FROM bm25_raw)""")
+def bm25_blocks_read(spark, sf):
+    """Over all queries, fewer blocks are read than their terms have."""
+    q, c = FL.scope(I.queries(spark, sf), I.chunks(spark, sf), True)
+    path = run_dir(spark, "postings")
+    P.build(c, path)
+    return P.blocks_read(spark, q, path).agg(F.count(F.lit(1)).alias("queries"), (F.sum("opened") < F.sum("blocks")).alias("fewer_read"))
+
+
 # Every query names three documents, or none, which searches all of them.
 @query("bm25_topk_subset", f"""WITH {S.CHUNKS}, {S.QUERIES},
 sub AS (SELECT query_id, text, CASE WHEN length(text) > 300 THEN []::BIGINT[] ELSE [query_id, query_id + 7, query_id * 5 + 100] END AS ids FROM qs),

@@ -53,6 +53,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows as a table in the shared folder, read again. Its size is then known: in loops of joins a checkpoint would
+    keep the estimate of its plan, and products of estimates grow beyond all bounds."""
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables; a temporary one only where none is configured."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
