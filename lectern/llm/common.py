@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.operators.sizing import cut_lineage
+from lectern.operators.sizing import written
 
 # Words are maximal runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,7 +66,7 @@ def numbered(rows: DataFrame, tree: str, order: list[Column]) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK_ROWS))
     spread = rows.repartitionByRange(n, F.col(tree).asc_nulls_first(), *order)
     # Written with its partition number: both uses see the same rows.
-    spread = cut_lineage(spread.withColumn("_part", F.spark_partition_id()))
+    spread = written(spread.withColumn("_part", F.spark_partition_id()))
     sizes = spread.groupBy(tree, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(tree).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -83,11 +83,11 @@ def components(links: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     Labels go down along links and then along the labels themselves (``label[label]``), so chains
     shorten geometrically. One round is two aggregations and two joins on narrow rows, whose large
     sides adaptive execution splits; no neighbourhood is ever collected. Each round is written to the
-    checkpoint folder; the loop ends when a round changes nothing.
+    shared folder; the loop ends when a round changes nothing.
     """
     both = links.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    both = cut_lineage(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    label = cut_lineage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
+    both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    label = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
     for _ in range(max_rounds):
         # Smallest label among the neighbours.
         near = (
@@ -97,11 +97,11 @@ def components(links: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
         step = label.join(near, "u").select("u", F.col("l").alias("old"), F.least("l", "n").alias("l"))
         # The node named by the old label learns the new one, and every node jumps to its label's label.
         told = step.groupBy(F.col("old").alias("u")).agg(F.min("l").alias("t"))
-        step = cut_lineage(
+        step = written(
             step.join(told, "u", "left").select("u", "old", F.least(F.col("l"), F.coalesce("t", "l")).alias("l"))
         )
         jump = step.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        new = cut_lineage(
+        new = written(
             step.join(jump, "l", "left").select("u", "old", F.least(F.col("l"), F.coalesce("ll", "l")).alias("l"))
         )
         changed = new.where("l < old").limit(1).count()

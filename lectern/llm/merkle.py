@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import numbered
-from lectern.operators.sizing import cut_lineage
+from lectern.operators.sizing import cut_lineage, written
 
 ARITY = 3
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -78,21 +78,22 @@ def climb(leaves: DataFrame, arity: int = ARITY) -> tuple[DataFrame, DataFrame]:
     A proof is an array, from the leaf upwards, of the siblings left and right of it. The single node of a tree is its root.
     """
     sizes = leaves.groupBy("tree").agg(F.max("node").alias("last"))
-    level = cut_lineage(leaves.join(sizes, "tree"))
+    level = written(leaves.join(sizes, "tree"))
     levels, tops = [], [level.where("last = 0")]
-    while not (above := level.where("last > 0")).isEmpty():
-        levels.append(cut_lineage(with_siblings(above, arity)))
-        parents = levels[-1].where("slot = 0").select(
+    highest = level.agg(F.max("last")).first()[0] or 0
+    while highest:
+        levels.append(written(with_siblings(level.where("last > 0"), arity)))
+        level = levels[-1].where("slot = 0").select(
             "tree", F.col("run").alias("node"), digest(_concat([F.col(f"d{j}") for j in range(arity)])).alias("digest"),
             F.floor(F.col("last") / arity).cast("long").alias("last"),
         )
-        level = cut_lineage(parents)
         tops.append(level.where("last = 0"))
+        highest //= arity
     roots = reduce(DataFrame.unionByName, [t.select("tree", F.col("digest").alias("root")) for t in tops])
     # From the roots down: a node's path is its own step and its parent's path. Trees join at the level of their root.
     none = F.array().cast("array<struct<left:string,right:string>>").alias("proof")
     paths, slots = tops[-1].drop("last").withColumn("proof", none), [F.col(f"d{j}") for j in range(arity)]
-    for joined, ended in zip(reversed(levels), reversed(tops[:-1])):
+    for height, joined, ended in reversed(list(zip(range(len(levels)), levels, tops))):
         left = _concat([F.when(F.col("slot") > j, c) for j, c in enumerate(slots)])
         right = _concat([F.when(F.col("slot") < j, c) for j, c in enumerate(slots)])
         up = paths.select(F.col("tree").alias("_t"), F.col("node").alias("_run"), F.col("proof").alias("_up"))
@@ -100,8 +101,8 @@ def climb(leaves: DataFrame, arity: int = ARITY) -> tuple[DataFrame, DataFrame]:
         met = met.withColumn("proof", F.concat(F.array(F.struct(left.alias("left"), right.alias("right"))), "_up"))
         own = [c for c in ended.columns if c != "last"]
         paths = met.select(*own, "proof").unionByName(ended.select(*own, none))
-        # The last, widest level stays a plan; the ones above are written, so that no plan holds all levels.
-        paths = paths if joined is levels[0] else cut_lineage(paths)
+        # The widest level stays a plan; the ones above are written, so that no plan holds several levels.
+        paths = written(paths) if height else paths
     return roots, paths
 
 
@@ -123,10 +124,10 @@ def manifest(rows: DataFrame, columns=COLUMNS, tree: str = "source", key: str =
     # Trees by number: null is a name, too.
     names = cut_lineage(own.select("_tree").distinct().withColumn("_all", F.lit(0)))
     trees = numbered(names, "_all", [F.col("_tree").asc_nulls_first()]).select(F.col("_tree").alias("_name"), F.col("node").alias("tree"))
-    trees = cut_lineage(trees)
+    trees = written(trees)
     leaves = leaves.join(trees, leaves["_tree"].eqNullSafe(trees["_name"])).drop("_name", "_tree")
     subroots, proved = climb(leaves, arity)
-    top = cut_lineage(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("node"), F.col("root").alias("digest")))
+    top = written(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("node"), F.col("root").alias("digest")))
     root, ways = climb(top, arity)
     # One digest; an empty table has none.
     found = root.first()

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import numbered
-from lectern.operators.sizing import cut_lineage
+from lectern.operators.sizing import cut_lineage, written
 
 CHUNK = 256
 PASSES = 6
@@ -187,10 +187,10 @@ def settled(chunks: DataFrame, passes: int = PASSES) -> DataFrame:
     lone, many = chunks.where("last = 0"), chunks.where("last > 0")
     todo, known = many.withColumn("todo", F.array(F.lit(0))), None
     for number in range(1, passes + 2):
-        new = cut_lineage(todo.select(*key, "codes", "todo").mapInPandas(_run, kind))
+        new = written(todo.select(*key, "codes", "todo").mapInPandas(_run, kind))
         if new.isEmpty():
             break
-        known = new if known is None else cut_lineage(known.unionByName(new))
+        known = new if known is None else written(known.unionByName(new))
         # What the right neighbour came out with, and all vectors in the last pass.
         table = known.groupBy(*key).agg(F.collect_set("todo").alias("done"), F.collect_set("before").alias("out"))
         near = table.select(F.col("conv").alias("_conv"), (F.col("chunk") - 1).alias("_chunk"), F.col("out").alias("_out"))
@@ -205,11 +205,11 @@ def settled(chunks: DataFrame, passes: int = PASSES) -> DataFrame:
         return lone.select(*key, "codes", F.lit(0).alias("after"))
     # Doubling: ``g`` maps the class after a stretch of chunks to the class before it.
     g = known.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("todo", "before"))).alias("g"))
-    g, step, most = cut_lineage(g), 1, many.agg(F.max("last")).first()[0]
+    g, step, most = written(g), 1, many.agg(F.max("last")).first()[0]
     while step <= most:
         right = g.select(F.col("conv").alias("_conv"), (F.col("chunk") - step).alias("_chunk"), F.col("g").alias("_g"))
         g = g.join(right, g["conv"].eqNullSafe(right["_conv"]) & (g["chunk"] == right["_chunk"]), "left")
-        g = cut_lineage(g.select(*key, F.when(F.col("_g").isNull(), F.col("g")).otherwise(F.transform_values("_g", lambda k, v: F.try_element_at("g", v))).alias("g")))
+        g = written(g.select(*key, F.when(F.col("_g").isNull(), F.col("g")).otherwise(F.transform_values("_g", lambda k, v: F.try_element_at("g", v))).alias("g")))
         step *= 2
     before = g.select(F.col("conv").alias("_conv"), (F.col("chunk") - 1).alias("_chunk"), F.try_element_at("g", F.lit(0)).alias("_after"))
     met = many.join(before, many["conv"].eqNullSafe(before["_conv"]) & (many["chunk"] == before["_chunk"]), "left")
