@@ -15,6 +15,7 @@ from lectern.operators import memory as M
 from lectern.operators import prompts as L
 from lectern.operators import retrieval as R
 from lectern.operators import routing as RT
+from lectern.operators.sizing import run_dir
 from lectern.plans import answer as A
 from lectern.sources.tables import read_table
 
@@ -190,10 +191,51 @@ def prompts(spark, sf):
 
 
 # --- the whole plan ------------------------------------------------------------------------------
+def stored_chunks(spark, sf):
+    """Chunks with the vector of their document, cut once and stored as a service keeps them."""
+    e = I.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
+    path = run_dir(spark, "chunk-table")
+    I.chunks(spark, sf).drop("metadata").join(e, "doc_id", "left").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def questions(spark, sf):
+    e = I.vectors(spark, sf).select(F.col("vec_id").alias("query_id"), "embedding")
+    return I.queries(spark, sf).withColumn("session_id", F.col("query_id")).join(e, "query_id", "left")
+
+
+def told(spark, sf):
+    return I.messages(spark, sf).drop("text").withColumnRenamed("plain", "text")
+
+
 @query("answer_contexts")
 def answer_contexts(spark, sf):
-    q = I.queries(spark, sf).withColumn("session_id", F.col("query_id"))
+    """Every question over all four sources: hybrid retrieval among the owner's chunks, fusion, prompt and citations."""
     return A.answer_contexts(
-        q, I.chunks(spark, sf), MQ.memories(spark, sf), MQ.domains(spark, sf), MQ.entries(spark, sf),
-        I.messages(spark, sf).drop("text").withColumnRenamed("plain", "text"), I.now(),
+        questions(spark, sf), stored_chunks(spark, sf), MQ.memories(spark, sf), MQ.domains(spark, sf), MQ.entries(spark, sf),
+        told(spark, sf), I.now(),
+    )
+
+
+@query("answer_citations", f"""WITH {S.QUERIES}
+SELECT query_id, true AS only_completed, true AS only_named FROM qs""")
+def answer_citations(spark, sf):
+    """Citations of the whole plan where questions name documents: none but completed and named ones are cited."""
+    done = I.docs(spark, sf).select("doc_id").join(
+        spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", "left"
+    ).select("doc_id", F.when(F.coalesce("quality", F.lit(1)) == 1, "COMPLETED").otherwise("FAILED").alias("status"))
+    q, i = questions(spark, sf), F.col("query_id")
+    ids = F.when(F.col("user_id") == "src0", F.array().cast("array<bigint>")).otherwise(F.array(i, i + 7, i * 5 + 100))
+    q = q.withColumn("document_ids", ids)
+    a = A.answer_contexts(
+        q, stored_chunks(spark, sf), MQ.memories(spark, sf), MQ.domains(spark, sf), MQ.entries(spark, sf), told(spark, sf), I.now(),
+        shared=True, documents=done,
+    )
+    cited = a.select("query_id", F.explode("citations.doc_id").alias("doc_id")).join(done, "doc_id").join(q.select("query_id", "document_ids"), "query_id")
+    wrong = cited.groupBy("query_id").agg(
+        F.count_if(F.col("status") != "COMPLETED").alias("unfinished"),
+        F.count_if((F.size("document_ids") > 0) & ~F.array_contains("document_ids", F.col("doc_id"))).alias("foreign"),
+    )
+    return a.select("query_id").join(wrong, "query_id", "left").select(
+        "query_id", (F.coalesce("unfinished", F.lit(0)) == 0).alias("only_completed"), (F.coalesce("foreign", F.lit(0)) == 0).alias("only_named")
     )

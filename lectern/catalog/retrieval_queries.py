@@ -111,13 +111,13 @@ def bm25_blocks_read(spark, sf):
 
 # Every query names three documents, or none, which searches all of them.
 @query("bm25_topk_subset", f"""WITH {S.CHUNKS}, {S.QUERIES},
-sub AS (SELECT query_id, text, CASE WHEN length(text) > 300 THEN []::BIGINT[] ELSE [query_id, query_id + 7, query_id * 5 + 100] END AS ids FROM qs),
+sub AS (SELECT query_id, text, CASE WHEN user_id = 'src0' THEN []::BIGINT[] ELSE [query_id, query_id + 7, query_id * 5 + 100] END AS ids FROM qs),
 oq AS (SELECT query_id, text, array_to_string(ids, ',') AS scope, ids FROM sub),
 oc AS (SELECT s.scope, c.chunk_id, c.content FROM (SELECT DISTINCT scope, ids FROM oq) s JOIN chunks c
   ON len(s.ids) = 0 OR list_contains(s.ids, c.doc_id)), {S.bm25('oc', 'oq', 5)} {RANKED} bm25""")
 def bm25_topk_subset(spark, sf):
     q, one = I.queries(spark, sf), F.col("query_id")
-    ids = F.when(F.length("text") > 300, F.array().cast("array<bigint>")).otherwise(F.array(one, one + 7, one * 5 + 100))
+    ids = F.when(F.col("user_id") == "src0", F.array().cast("array<bigint>")).otherwise(F.array(one, one + 7, one * 5 + 100))
     q, c = FL.subset_scopes(q.withColumn("document_ids", ids), I.chunks(spark, sf), shared=True)
     return ranked(R.bm25_search(q, c, scoped=True))
 

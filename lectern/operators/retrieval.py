@@ -233,13 +233,13 @@ def merge_scores(vector_hits: DataFrame, bm25_hits: DataFrame) -> DataFrame:
 
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, alpha: float = DEFAULTS.alpha,
-    candidates: int = DEFAULTS.candidates, threshold: float = DEFAULTS.threshold, shared: bool = False,
+    candidates: int = DEFAULTS.candidates, threshold: float = DEFAULTS.threshold, shared: bool = False, scoped: bool = False,
 ) -> DataFrame:
     """Weighted sum of the vector and the BM25 score over the best candidates of each."""
     if not 0.0 <= alpha <= 1.0:
         raise ValueError(f"alpha must lie between 0 and 1, got {alpha}")
-    v = vector_search(queries, chunks, candidates, threshold, shared)
-    b = bm25_search(queries, chunks, candidates, shared)
+    v = vector_search(queries, chunks, candidates, threshold, shared, scoped)
+    b = bm25_search(queries, chunks, candidates, shared, scoped=scoped)
     mixed = merge_scores(v, b).withColumn(
         "score", F.round(alpha * F.col("vector_score") + (1.0 - alpha) * F.col("bm25_score"), RANK_DIGITS)
     )
@@ -299,7 +299,9 @@ def retrieve(
 ) -> DataFrame:
     """Hybrid search, then reranking. ``candidate_limit`` chunks per query reach the reranker."""
     found = hybrid_search(queries, chunks, candidate_limit, shared=shared, **options)
+    # A chunk stands once for every scope that sees it.
     texts = chunks.select("chunk_id", "doc_id", "content")
+    texts = texts.dropDuplicates(["chunk_id"]) if options.get("scoped") else texts
     cands = found.join(queries.select("query_id", "text"), "query_id").join(texts, "chunk_id")
     return rerank(cands, scorer, k)
 

@@ -150,3 +150,47 @@ def run_plan(planned: DataFrame, providers: dict) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+AUTHORIZATION = "authorization"
+
+
+def dispatch(planned: DataFrame, providers: dict) -> tuple[DataFrame, DataFrame]:
+    """Contexts of the selected sources, and the failures ``(query_id, source, error)``; one source's failure leaves the others.
+
+    A provider fails as a whole by an exception while it is planned: every query routed to it then has a failure. It fails
+    for single queries by rows with an ``error``; these rows are no contexts, nor are its other rows of that query. What it
+    may not do is never set aside: a ``PermissionError`` is raised again, and a row whose ``error_kind`` is ``authorization``
+    ends the job that reads the results.
+    """
+    kind = "query_id " + planned.schema["query_id"].dataType.simpleString() + ", source string, error string"
+    spark = planned.sparkSession
+    contexts, failures = None, spark.createDataFrame([], kind)
+    for source, fn in providers.items():
+        asked = planned.where(F.col(f"use_{source}"))
+        try:
+            rows = fn(asked)
+        except PermissionError:
+            raise
+        except Exception as e:  # noqa: BLE001 - the other sources go on
+            failures = failures.unionByName(asked.select("query_id", F.lit(source).alias("source"), F.lit(f"{source}: {e}").alias("error")))
+            continue
+        if "error" in rows.columns:
+            error = F.col("error")
+            if "error_kind" in rows.columns:
+                error = F.when(F.col("error_kind") == AUTHORIZATION, F.raise_error(F.concat(F.lit(f"{source}: "), error)).cast("string")).otherwise(error)
+            rows = rows.withColumn("error", error).drop("error_kind")
+            bad = rows.where("error IS NOT NULL").groupBy("query_id").agg(F.min("error").alias("error"))
+            failures = failures.unionByName(bad.select("query_id", F.lit(source).alias("source"), F.concat(F.lit(f"{source}: "), "error").alias("error")))
+            rows = rows.where("error IS NULL").drop("error").join(bad.select("query_id"), "query_id", "left_anti")
+        contexts = rows if contexts is None else contexts.unionByName(rows, allowMissingColumns=True)
+    if contexts is None:
+        contexts = planned.where("false").select("query_id")
+    return contexts, failures
+
+
+def provider_failures(planned: DataFrame, failures: DataFrame) -> DataFrame:
+    """``query_id, provider_failures`` of every planned query, its failures in the order of their text."""
+    found = failures.groupBy("query_id").agg(F.array_sort(F.collect_set("error")).alias("provider_failures"))
+    none = F.array().cast("array<string>")
+    return planned.select("query_id").join(found, "query_id", "left").withColumn("provider_failures", F.coalesce("provider_failures", none))

@@ -62,13 +62,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables; a temporary one only where none is configured."""
+    """Shared folder for intermediate tables: that of the session's ``spark.checkpoint.dir``. Where none is set, a folder of
+    this application in the warehouse, which executors share as well; it is removed when the application ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="lectern-")
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_runs/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return own
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

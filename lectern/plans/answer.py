@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, Settings
 from lectern.operators import cache as C
+from lectern.operators import filters as FL
 from lectern.operators import fusion as K
 from lectern.operators import guard as G
 from lectern.operators import memory as M
@@ -35,9 +36,13 @@ def pack(queries: DataFrame, history: DataFrame, cached: DataFrame, memories: Da
 def answer_contexts(
     queries: DataFrame, chunks: DataFrame, memories: DataFrame, domains: DataFrame, entries: DataFrame,
     messages: DataFrame, now: Column, cfg: Settings = DEFAULTS, scorer=R.overlap_scorer, shared: bool = False,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per question ``(query_id, user_id, session_id, text[, embedding])`` with its decision,
-    plan, prompt and cited chunks.
+    """One row per question ``(query_id, user_id, session_id, text[, embedding][, document_ids])`` with its decision,
+    plan, prompt, cited chunks and citations.
+
+    With ``documents`` (``doc_id, status``) only chunks of completed ones are searched; a question with ``document_ids``
+    searches these alone. ``chunks`` is read for the search and for the few hits: give a stored table, not a plan that cuts texts.
 
     Blocked questions stop before retrieval, and a source is read only for the questions routed to it. The
     retrieval check sees the chunks before fusion, and the document text of the prompt comes from the
@@ -53,16 +58,21 @@ def answer_contexts(
     plan = cut_lineage(RT.plan(signals))
 
     to_rag = plan.where("use_rag").withColumn("text", RT.rewrite("text", F.col("history.content")))
+    if documents is not None:
+        chunks = chunks.join(FL.completed(documents).select("doc_id"), "doc_id", "left_semi")
+    asked_, seen = (FL.subset_scopes if "document_ids" in queries.columns else FL.scope)(to_rag, chunks, shared)
     if "embedding" in queries.columns and "embedding" in chunks.columns:
-        found = R.retrieve(to_rag, chunks, cfg.top_k, cfg.top_k, scorer, shared, alpha=cfg.alpha, threshold=cfg.threshold)
-        found = found.select("query_id", "chunk_id", "score", F.col("final_rank").alias("rank"))
+        hits = R.hybrid_search(asked_, seen, cfg.top_k, cfg.alpha, cfg.candidates, cfg.threshold, scoped=True)
     else:
-        hits = R.bm25_search(to_rag, chunks, cfg.top_k, shared)
-        texts = hits.join(chunks.select("chunk_id", "content"), "chunk_id").join(to_rag.select("query_id", "text"), "query_id")
-        ranked = R.rerank(texts, scorer, cfg.top_k)
-        found = ranked.select("query_id", "chunk_id", "score", F.col("final_rank").alias("rank"))
+        hits = R.bm25_search(asked_, seen, cfg.top_k, scoped=True)
+    # The few hits meet the chunk table once; reranking, fusion, checks and citations read them from there.
+    hits = cut_lineage(hits.select("query_id", "chunk_id", "rank", "score"))
     details = chunks.select("chunk_id", "doc_id", "filename", "page_number", "chunk_index", "content", F.col("user_id").alias("owner_id"))
-    found = cut_lineage(found.join(details, "chunk_id"))
+    texts = hits.join(details, "chunk_id").join(to_rag.select("query_id", "text"), "query_id")
+    ranked = R.rerank(texts, scorer, cfg.top_k)
+    found = cut_lineage(ranked.select(
+        "query_id", "chunk_id", "score", F.col("final_rank").alias("rank"), "doc_id", "filename", "page_number", "chunk_index", "content", "owner_id",
+    ))
     plain = plan.select("query_id", "user_id", "text", "use_cag", "use_mag")
     cached = cut_lineage(C.cache_search(plain.where("use_cag"), domains, entries, now, cfg.cache_chars))
     remembered = cut_lineage(M.memory_search(plain.where("use_mag"), memories, now, cfg.memory_top_k))
@@ -98,10 +108,15 @@ def answer_contexts(
     summary = plan.select("query_id", "selected_sources", "confidence", F.col("reason").alias("plan_reason"))
     out = guarded.select("query_id", "user_id", F.col("decision").alias("input_decision"))
     out = out.join(summary, "query_id", "left").join(checked, "query_id", "left").join(prompts, "query_id", "left")
+    cited = L.citations(found).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "doc_id", "filename", "page_number", "chunk_index", "preview", "relevance_score"))).alias("citations")
+    )
+    out = out.join(cited, "query_id", "left")
     blocked = F.col("retrieval_decision") == "BLOCK"
     return out.select(
         "query_id", "user_id", "input_decision", "selected_sources", "confidence", "plan_reason",
         F.coalesce("retrieval_decision", F.when(F.col("input_decision") != "BLOCK", "ALLOW")).alias("retrieval_decision"),
         F.when(~F.coalesce(blocked, F.lit(False)), F.col("chunk_ids")).alias("chunk_ids"),
         F.when(~F.coalesce(blocked, F.lit(False)), F.col("prompt")).alias("prompt"),
+        F.when(~F.coalesce(blocked, F.lit(False)), F.col("citations")).alias("citations"),
     )

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import guard as G
 from lectern.operators import routing as RT
+from lectern.operators import rules as GR
 
 
 def plan(spark, *texts, history=False):
@@ -79,3 +80,69 @@ def test_policies(spark):
     assert [r.decision for r in G.with_policy(df).collect()] == ["ALLOW", "BLOCK"]
     assert [r.decision for r in G.with_policy(df, fail_closed=False).collect()] == ["ALLOW", "ALLOW"]
     assert {r.decision for r in G.with_policy(df, enabled=False).collect()} == {"ALLOW"}
+
+
+def test_one_failing_source_leaves_the_others(spark):
+    planned = spark.createDataFrame([(1, True, True, False), (2, True, False, True), (3, False, True, True)], "query_id long, use_rag boolean, use_cag boolean, use_mag boolean")
+
+    def rows(q, name, **more):
+        return q.select("query_id", F.lit(name).alias("source"), *[v.alias(k) for k, v in more.items()])
+
+    def down(q):
+        raise ValueError("no store")
+
+    some = {"error": F.when(F.col("query_id") == 2, "slow")}
+    contexts, failures = RT.dispatch(planned, {"rag": lambda q: rows(q, "rag"), "cag": down, "mag": lambda q: rows(q, "mag", **some)})
+    assert sorted((r.query_id, r.source) for r in contexts.collect()) == [(1, "rag"), (2, "rag"), (3, "mag")]
+    assert sorted(tuple(r) for r in failures.collect()) == [(1, "cag", "cag: no store"), (2, "mag", "mag: slow"), (3, "cag", "cag: no store")]
+    told = {r.query_id: r.provider_failures for r in RT.provider_failures(planned, failures).collect()}
+    assert told == {1: ["cag: no store"], 2: ["mag: slow"], 3: ["cag: no store"]}
+
+    def forbidden(q):
+        raise PermissionError("not yours")
+
+    with pytest.raises(PermissionError):
+        RT.dispatch(planned, {"rag": forbidden})
+    kinds = {"error": F.lit("not yours"), "error_kind": F.lit("authorization")}
+    with pytest.raises(Exception, match="not yours"):
+        RT.dispatch(planned, {"rag": lambda q: rows(q, "rag", **kinds)})[0].collect()
+    contexts, failures = RT.dispatch(planned, {"cag": down})
+    assert contexts.count() == 0 and failures.count() == 2
+
+
+def test_literals_of_patterns():
+    assert GR.required_literals(r"a\s+(foo|barbar)\s*x?") == ["barbar", "foo"]
+    assert GR.required_literals(r"(abc)?\d+") is None and GR.required_literals(r"(abc|\d)") is None
+    assert GR.required_literals(r"abc(xyz)+") == ["abc"] or GR.required_literals(r"abc(xyz)+") == ["xyz"]
+
+
+def rule(no, pattern, severity="HIGH", fold=True, mark=None, literals=None):
+    return (no, f"r{no}", f"p{no}", f"because {no}", severity, pattern, fold, mark, literals)
+
+
+def test_rules_of_a_table(spark):
+    table = [
+        rule(0, "act(ion)? now", literals=["act"]), rule(0, "do it", literals=["do it"]), rule(1, "action nower", literals=["action nower"]),
+        rule(2, "[0-9]{4}", "MEDIUM", False, "#"), rule(3, "actions? \\$", literals=["action", "actions"]),
+        rule(4, "q.e", literals=None),
+    ]
+    rules = spark.createDataFrame(table, GR.SCHEMA)
+    texts = ["ACTION NOWER", "act now, do it", "pin 1234 and 5678", "transactions $", "acti", "", None, "the q=e", "act now 1234", "reaction nower do it 99999"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r for r in GR.guard(df, rules, "id").collect()}
+    names = {i: [v.rule_name for v in r.violations] for i, r in got.items()}
+    assert names == {0: ["r0", "r1"], 1: ["r0"], 2: ["r2"], 3: ["r3"], 4: [], 5: [], 6: [], 7: ["r4"], 8: ["r0", "r2"], 9: ["r0", "r1", "r2"]}
+    assert (got[2].decision, got[2].sanitized_text, got[8].decision, got[4].decision) == ("SANITIZE", "pin # and #", "BLOCK", "ALLOW")
+    assert got[0].reason == "because 0" and got[0].policy == "p0"
+    assert GR.guard(df, rules.where("false"), "id").where("decision <> 'ALLOW'").count() == 0
+
+
+def test_scorer_of_a_table(spark):
+    def scorer(text):
+        return F.length(text) / 10.0, F.when(F.contains(text, F.lit("!")), F.lit("no answer"))
+
+    df = spark.createDataFrame([(1, "short"), (2, "a longer text"), (3, "a failing one!")], "id int, text string")
+    checked = GR.guard(df, spark.createDataFrame([], GR.SCHEMA), "id", scorer=scorer, threshold=1.0)
+    closed = {r.id: (r.decision, r.policy) for r in G.with_policy(checked).collect()}
+    assert closed[1][0] == "ALLOW" and closed[2] == ("BLOCK", "safety/classifier") and closed[3][0] == "BLOCK"
+    assert {r.id: r.decision for r in G.with_policy(checked, fail_closed=False).collect()}[3] == "ALLOW"
