@@ -45,7 +45,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Every shard in its own shuffled order; the places go only after the rows stand there.
-    mixed = mixing.mix(docs).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_turn")
+    # The number of partitions is named: otherwise small outputs become one file, and the next stage one task.
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    mixed = mixing.mix(docs).repartition(n, "mix_shard").sortWithinPartitions("mix_shard", "mix_turn")
     return mixed.select(*docs.columns)
 
 
