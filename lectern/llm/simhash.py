@@ -1,11 +1,12 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A fingerprint is cut into three pieces. Two fingerprints that differ in at most four bits differ in at most one bit of
-some piece, so each piece is searched for one bit. The anchors of a piece are the words of a covering code of radius 1:
-the perfect (15, 11) code on its low 15 bits, all words on the bits above. A fingerprint is *home* at its nearest anchor
-and is replicated to every anchor within covering radius plus threshold (1 + 1); there it meets all its partners. The
-full 64 bits are compared per anchor. Anchors with many members are cut into tiles of bounded size, and a tile gives the
-edges of a spanning forest, never all pairs.
+A fingerprint is cut into pieces, so that two which differ in at most four bits differ in few bits of some piece: at most
+one of three pieces, or two of two. The anchors of a piece are the words of a covering code of radius 1: a perfect code on
+its low bits, all words on the bits above. A fingerprint is *home* at its nearest anchor and is replicated to every anchor
+within covering radius plus these few bits; there it meets all its partners. The full 64 bits are compared per anchor. The
+anchors go by the number of distinct fingerprints: three pieces have three times 2^17, two pieces twice 2^27, so that an
+anchor's members stay few; both find the same links. Anchors with many members are cut into tiles of bounded size, and a
+tile gives the edges of a spanning forest, never all pairs.
 
 Results: a null text is an empty one; texts without a word have fingerprint zero and link with each other. Equal
 fingerprints are compared once. Repeated rows give repeated rows. A null id never names a group; a group of null ids has
@@ -14,7 +15,9 @@ a null component. An empty table gives an empty one. Input columns called like a
 
 from __future__ import annotations
 
-from itertools import repeat
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,15 +27,12 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from lectern.llm.common import bytes_words, components, forest, group_bounds, text_of, whole_groups
-from lectern.operators.sizing import cut_lineage
+from lectern.operators.sizing import cut_lineage, written
 
 SHINGLE = 4
 NEAR_BITS = 4
 SEED = 42
 TILE = 1024
-# (first bit, bits) of each piece.
-PIECES = ((0, 21), (21, 21), (42, 22))
-_CODE = 15
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -64,32 +64,61 @@ def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
 
-def _syndromes() -> np.ndarray:
-    """Syndrome of every word of the low bits: the exclusive or of the places of its ones."""
-    out = np.zeros(1 << _CODE, dtype=np.int64)
-    for i in range(_CODE):
-        out[1 << i : 2 << i] = out[: 1 << i] ^ (i + 1)
-    return out
+@dataclass(frozen=True)
+class Layout:
+    """Pieces (first bit, bits), the check bits of the perfect code on each one's low bits, and how many bits of a piece a
+    replica may be away from its fingerprint: covering radius 1 and the bits in which partners may differ there."""
+
+    pieces: tuple[tuple[int, int], ...]
+    check: int
+    reach: int
+
+    @property
+    def code(self) -> int:
+        return (1 << self.check) - 1
+
+
+FEW = Layout(((0, 21), (21, 21), (42, 22)), 4, 2)
+MANY = Layout(((0, 32), (32, 32)), 5, 3)
+# Distinct fingerprints from which the anchors of ``MANY`` are used. Both layouts find all links.
+MANY_FROM = 1 << 21
+
 
+def layout_for(n: int) -> Layout:
+    return MANY if n >= MANY_FROM else FEW
 
-def _moves(bits: int) -> list[np.ndarray]:
-    """For each syndrome: changes of weight up to 2 (radius plus threshold) that lead from such a word to an anchor."""
-    high = bits - _CODE
-    above = {0: [0], 1: [1 << i for i in range(high)], 2: [1 << i | 1 << j for i in range(high) for j in range(i)]}
-    out = []
-    for s in range(1 << 4):
-        low = [(0, 0)] if s == 0 else [(1 << (s - 1), 1)] + [(1 << i | 1 << ((s ^ (i + 1)) - 1), 2) for i in range(_CODE) if i + 1 < (s ^ (i + 1))]
-        out.append(np.array(sorted(a | v << _CODE for a, w in low for u in range(3 - w) for v in above[u]), dtype=np.int64))
+
+def _syndrome(part: np.ndarray, layout: Layout) -> np.ndarray:
+    """Exclusive or of the places of the ones among the low bits."""
+    places = np.arange(1, layout.code + 1)
+    out = np.zeros(len(part), dtype=np.int64)
+    for k in range(layout.check):
+        mask = sum(1 << int(i - 1) for i in places[places >> k & 1 == 1])
+        out |= (np.bitwise_count(part & np.int64(mask)).astype(np.int64) & 1) << k
     return out
 
 
-def anchors(fp: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache
+def _moves(bits: int, layout: Layout) -> list[np.ndarray]:
+    """For each syndrome: changes of at most ``reach`` bits that lead from such a word to an anchor."""
+    high, out = bits - layout.code, [[] for _ in range(layout.code + 1)]
+    for weight in range(layout.reach + 1):
+        for spots in combinations(range(layout.code), weight):
+            s, low = 0, 0
+            for i in spots:
+                s, low = s ^ (i + 1), low | 1 << i
+            for more in range(layout.reach - weight + 1):
+                out[s] += [low | sum(1 << (layout.code + i) for i in above) for above in combinations(range(high), more)]
+    return [np.array(sorted(m), dtype=np.int64) for m in out]
+
+
+def anchors(fp: np.ndarray, piece: int, layout: Layout = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, anchor, home)``: the anchors of each fingerprint in one piece."""
-    first, bits = PIECES[piece]
+    first, bits = layout.pieces[piece]
     part = ((fp.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    syndrome, moves = _syndromes()[part & ((1 << _CODE) - 1)], _moves(bits)
+    syndrome, moves = _syndrome(part, layout), _moves(bits, layout)
     rows, at, home = [], [], []
-    for s in range(1 << 4):
+    for s in range(layout.code + 1):
         mine = np.flatnonzero(syndrome == s)
         near = 0 if s == 0 else 1 << (s - 1)
         rows.append(np.repeat(mine, len(moves[s])))
@@ -98,26 +127,27 @@ def anchors(fp: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(rows), np.concatenate(at), np.concatenate(home)
 
 
-def _replicate(batches):
-    for pdf in batches:
-        fp = pdf["fp"].to_numpy(np.int64)
-        for p in range(len(PIECES)):
-            r, a, h = anchors(fp, p)
-            for i in range(0, len(r), 200_000):
-                s = slice(i, i + 200_000)
-                yield pd.DataFrame({"anchor": (p << 32) | a[s], "fp": fp[r[s]], "home": h[s]})
+def _replicate(layout: Layout):
+    def run(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 2000):
+                fp = pdf["fp"].to_numpy(np.int64)[lo : lo + 2000]
+                for p in range(len(layout.pieces)):
+                    r, a, h = anchors(fp, p, layout)
+                    yield pd.DataFrame({"anchor": (p << 32) | a, "fp": fp[r], "home": h})
+
+    return run
 
 
 def _compare(batches):
     keys = ["anchor", "tile"]
     for pdf in whole_groups(batches, keys):
-        fp, left = pdf["fp"].to_numpy(np.uint64), pdf["left"].to_numpy()
+        fp, left, right = pdf["fp"].to_numpy(np.uint64), pdf["left"].to_numpy(), pdf["right"].to_numpy()
         a, b = [], []
         for s, e in group_bounds(pdf, keys):
-            h, o = np.flatnonzero(left[s:e]) + s, np.flatnonzero(~left[s:e]) + s
+            h, o = np.flatnonzero(left[s:e]) + s, np.flatnonzero(right[s:e]) + s
             if not len(h) or not len(o):
                 continue
-            # Homes and members of the same anchor; a row that is both stands on both sides.
             linked = np.bitwise_count(fp[h][:, None] ^ fp[o][None, :]) <= NEAR_BITS
             linked &= fp[h][:, None] != fp[o][None, :]
             if not linked.any():
@@ -133,25 +163,30 @@ def _compare(batches):
         yield pd.DataFrame({"a": got[a] if a else np.array([], np.int64), "b": got[b] if b else np.array([], np.int64)})
 
 
-def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, tile: int = TILE, layout: Layout | None = None) -> DataFrame:
     """``(a, b)``: links that join the same fingerprints as all pairs within four bits do. ``fps`` has distinct ``fp``."""
-    spots = cut_lineage(fps.select("fp").mapInPandas(_replicate, "anchor long, fp long, home boolean"))
-    sizes = (
+    layout = layout or layout_for(fps.count())
+    spots = written(fps.select("fp").mapInPandas(_replicate(layout), "anchor long, fp long, home boolean"))
+    sizes = written(
         spots.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("n_home"))
         .where("n > 1 and n_home > 0")
         .select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("n_right"), F.ceil(F.col("n_home") / tile).cast("int").alias("n_left"))
     )
-    d = spots.join(sizes, "anchor")
+    # Nearly all anchors are one tile: every row once, on both sides where it is at home.
+    one = spots.join(sizes.where("n_right = 1"), "anchor").select(
+        "anchor", "fp", F.col("home").alias("left"), F.lit(True).alias("right"), F.lit(0).alias("tile")
+    )
+    d = spots.join(sizes.where("n_right > 1"), "anchor")
     salt = lambda n, seed: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(n))
     right = d.select(
-        "anchor", "fp", F.lit(False).alias("left"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: i * F.col("n_right") + salt("n_right", 1))).alias("tile"),
+        "anchor", "fp", F.lit(False).alias("left"), F.lit(True).alias("right"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: i * F.col("n_right") + salt("n_right", 1))).cast("int").alias("tile"),
     )
     left = d.where("home").select(
-        "anchor", "fp", F.lit(True).alias("left"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("n_right") - 1), lambda i: salt("n_left", 2) * F.col("n_right") + i)).alias("tile"),
+        "anchor", "fp", F.lit(True).alias("left"), F.lit(False).alias("right"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("n_right") - 1), lambda i: salt("n_left", 2) * F.col("n_right") + i)).cast("int").alias("tile"),
     )
-    tiles = left.unionByName(right).repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
+    tiles = one.unionByName(left).unionByName(right).repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
     return tiles.mapInPandas(_compare, "a long, b long").distinct()
 
 

@@ -55,7 +55,8 @@ def test_simhash(spark, docs):
     assert simhash.fingerprint_classes(empty(docs)).count() == 0
 
 
-def test_anchors_lose_no_near_pair():
+@pytest.mark.parametrize("layout", [simhash.FEW, simhash.MANY])
+def test_anchors_lose_no_near_pair(layout):
     rng = np.random.default_rng(5)
     fp = rng.integers(-(2**63), 2**63, 400, dtype=np.int64)
     other = fp.copy()
@@ -63,16 +64,18 @@ def test_anchors_lose_no_near_pair():
         for b in rng.choice(64, 4, replace=False):
             other[i] ^= np.int64(np.uint64(1 << int(b)).astype(np.int64))
     met = np.zeros(len(fp), dtype=bool)
-    for p in range(3):
-        r, a, h = simhash.anchors(fp, p)
-        r2, a2, _ = simhash.anchors(other, p)
+    for p in range(len(layout.pieces)):
+        r, a, h = simhash.anchors(fp, p, layout)
+        r2, a2, _ = simhash.anchors(other, p, layout)
         members = set(zip(r2.tolist(), a2.tolist()))
         for row, anchor in zip(r[h].tolist(), a[h].tolist()):
             met[row] |= (row, anchor) in members
     assert met.all()
 
 
-def test_simhash_tiles_keep_all_links(spark):
+@pytest.mark.parametrize("many", [1 << 21, 1])
+def test_simhash_tiles_keep_all_links(spark, many, monkeypatch):
+    monkeypatch.setattr(simhash, "MANY_FROM", many)
     rng = np.random.default_rng(6)
     fps = sorted({int(np.int64(x)) for x in (1 << rng.integers(0, 60, 300)) | (1 << rng.integers(0, 60, 300))})
     d = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "id long, fp long")
