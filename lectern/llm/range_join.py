@@ -3,9 +3,10 @@
 Vectors are scaled to length one; cosine ``c`` and distance ``r`` then go by ``r * r = 2 - 2 * c``. Pivots, a bounded
 sample in the order of a hash, cut the space into cells of nearest pivots. If ``x`` is at home at pivot ``p``, a vector
 ``y`` with home ``q`` is within ``r`` of ``x`` only if ``d(y, p) - d(y, q) <= 2 * r`` (triangle inequality, twice), so
-``y`` is replicated to the cells for which that holds. Every cell joins its home vectors with its members on its own. As
-``x`` is home in one cell, its links are counted once. Cells are cut into tiles of bounded size; a tile gives counts and
-the edges of a spanning forest, never its pairs. Equal vectors are one class with a weight.
+``y`` may link with homes of the cells for which that holds. It is replicated to those of them with a lower number than
+its own, so a pair of two cells meets once, in the lower one, and counts for both. A cell's members are dealt to slices of
+bounded size, its home vectors pass by every slice in blocks; a block gives counts and at most one class link per vector,
+never its pairs. Equal vectors are one class with a weight.
 
 Results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
 different lengths with each other. Repeated rows count as other vectors. A null id never names a component. An empty
@@ -16,18 +17,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, forest, group_bounds, whole_groups
-from lectern.operators.sizing import cut_lineage
+from lectern.llm.common import components
+from lectern.operators.sizing import cut_lineage, written
 
 COSINE = 0.9
-TILE = 1024
+# Members a task holds at once, and home vectors that pass by in one block.
+TILE = 8192
+_PASSING = 512
 CELL_ROWS = 4096
 MOST_PIVOTS = 1024
 # Room for rounding in the search; the test itself is on the cosine.
 _ROOM = 1e-9
+# Room for products in single precision.
+_SINGLE_ROOM = 1e-3
 
 
 def unit(vectors) -> np.ndarray:
@@ -37,7 +43,15 @@ def unit(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _matrix(column, dim: int) -> np.ndarray:
+    """Vectors of one length, stored as bytes, as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in column]).reshape(len(column), dim)
+
+
 def _replicate(pivots: dict[int, np.ndarray], cosine: float):
+    """``dim, cell, home, node, weight, vec``: a vector goes to its home cell, and to each cell of a lower number whose pivot is
+    near enough. The vector is scaled here, once."""
     reach = 2 * np.sqrt(2 - 2 * cosine) + _ROOM
 
     def run(batches):
@@ -48,45 +62,106 @@ def _replicate(pivots: dict[int, np.ndarray], cosine: float):
                 p = pivots.get(int(dim))
                 for lo in range(0, len(mine), 1024):
                     part = pdf.iloc[mine[lo : lo + 1024]]
-                    if p is None:
+                    x = unit(part["vec"])
+                    if p is None or not len(p):
                         row, cell, home = np.arange(len(part)), np.zeros(len(part), np.int64), np.ones(len(part), bool)
                     else:
-                        d = np.sqrt(np.maximum(2 - 2 * unit(part["vec"]) @ p.T, 0))
+                        d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
                         nearest = d.argmin(axis=1)
-                        row, cell = np.nonzero(d - d.min(axis=1, keepdims=True) <= reach)
+                        close = d - d.min(axis=1, keepdims=True) <= reach
+                        row, cell = np.nonzero(close & (np.arange(len(p))[None, :] <= nearest[:, None]))
                         home = nearest[row] == cell
-                    vec = part["vec"].to_numpy()
-                    for i in range(0, len(row), 4096):
-                        s = slice(i, i + 4096)
-                        yield pd.DataFrame({
-                            "dim": dim, "cell": cell[s], "home": home[s], "node": part["node"].to_numpy()[row[s]],
-                            "weight": part["weight"].to_numpy()[row[s]], "vec": vec[row[s]],
-                        })
+                    data = [v.tobytes() for v in x]
+                    yield pd.DataFrame({
+                        "dim": dim, "cell": cell, "home": home, "node": part["node"].to_numpy()[row],
+                        "weight": part["weight"].to_numpy()[row], "vec": [data[i] for i in row],
+                    })
 
     return run
 
 
+def _forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links ``(i, j)`` between numbers as at most one link per number, with the same classes."""
+    names, flat = np.unique(np.concatenate((i, j)), return_inverse=True)
+    a, b = flat[: len(i)], flat[len(i) :]
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    joined = np.flatnonzero(label != np.arange(len(names)))
+    return names[joined], names[label[joined]]
+
+
+def _linked(x: np.ndarray, y: np.ndarray, y32: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with cosine ``cosine`` or more: proposed in single precision with room, decided in double."""
+    i, j = np.nonzero(x.astype(np.float32) @ y32.T >= np.float32(cosine - _SINGLE_ROOM))
+    good = np.empty(len(i), bool)
+    for lo in range(0, len(i), 100_000):
+        s = slice(lo, lo + 100_000)
+        good[s] = np.einsum("ij,ij->i", x[i[s]], y[j[s]]) >= cosine
+    return i[good], j[good]
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
 def _compare(cosine: float):
+    """Counts and class links of the (cell, slice) groups of a task. The members of a group come first and are held, the
+    home vectors of the cell pass by in blocks."""
+
     def run(batches):
-        keys = ["dim", "cell", "tile"]
-        for pdf in whole_groups(batches, keys):
-            node, left, weight = pdf["node"].to_numpy(), pdf["left"].to_numpy(), pdf["weight"].to_numpy()
-            for s, e in group_bounds(pdf, keys):
-                h, o = np.flatnonzero(left[s:e]) + s, np.flatnonzero(~left[s:e]) + s
-                if not len(h) or not len(o):
+        now, node, weight, home, y, y32, ready = None, [], [], [], [], None, False
+
+        def compare(h_node, h_weight, x):
+            i, j = _linked(x, y, y32, cosine)
+            other = h_node[i] != node[j]
+            i, j = i[other], j[other]
+            if not len(i):
+                return None
+            h_near = np.bincount(i, weights=weight[j], minlength=len(h_node)).astype(np.int64)
+            # Two homes of one cell meet twice, each passing by the other; any other pair meets here alone.
+            out = ~home[j]
+            m_near = np.bincount(j[out], weights=h_weight[i[out]], minlength=len(node)).astype(np.int64)
+            a, b = _forest(h_node[i], node[j])
+            hs, ms = np.flatnonzero(h_near), np.flatnonzero(m_near)
+            none = lambda n: pa.nulls(n, pa.int64())
+            return pa.RecordBatch.from_arrays([
+                pa.concat_arrays([pa.array(h_node[hs]), pa.array(node[ms]), pa.array(a)]),
+                pa.concat_arrays([none(len(hs) + len(ms)), pa.array(b)]),
+                pa.concat_arrays([pa.array(h_near[hs]), pa.array(m_near[ms]), none(len(a))]),
+            ], schema=_FOUND)
+
+        for batch in batches:
+            keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("dim", "cell", "slice", "passing")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if lo == hi:
                     continue
-                x, y = unit(pdf["vec"].iloc[h]), unit(pdf["vec"].iloc[o])
-                linked = (x @ y.T >= cosine) & (node[h][:, None] != node[o][None, :])
-                if not linked.any():
+                group, passing, dim = tuple(keys[lo, :3]), keys[lo, 3], int(keys[lo, 0])
+                part = batch.slice(lo, hi - lo)
+                ids, w, h = (part.column(n).to_numpy(zero_copy_only=False) for n in ("node", "weight", "home"))
+                x = _matrix(part.column("vec"), dim)
+                if group != now:
+                    now, node, weight, home, y, ready = group, [], [], [], [], False
+                if not passing:
+                    for held, new in ((node, ids), (weight, w), (home, h), (y, x)):
+                        held.append(new)
                     continue
-                near = linked @ weight[o]
-                yield pd.DataFrame({"a": node[h][near > 0], "b": None, "n": near[near > 0]}).astype({"b": "Int64", "n": "Int64"})
-                rows = np.concatenate((h, o))
-                both = np.zeros((len(rows), len(rows)), dtype=bool)
-                both[: len(h), len(h) :] = linked
-                both |= both.T
-                edges = np.array(forest(both))
-                yield pd.DataFrame({"a": node[rows[edges[:, 0]]], "b": node[rows[edges[:, 1]]], "n": None}).astype({"b": "Int64", "n": "Int64"})
+                if not ready:
+                    if not len(y):
+                        continue
+                    node, weight, home, y = (np.concatenate(held) for held in (node, weight, home, y))
+                    y32, ready = y.astype(np.float32), True
+                for at in range(0, len(ids), _PASSING):
+                    s = slice(at, at + _PASSING)
+                    found = compare(ids[s], w[s], x[s])
+                    if found is not None:
+                        yield found
 
     return run
 
@@ -104,34 +179,27 @@ def range_join(
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vec")).withColumn("usable", usable)
     # -0.0 and 0.0 are one value.
     good = rows.where("usable").select("id", F.transform("vec", lambda x: x + F.lit(0.0).cast("float")).alias("vec"))
-    classes = cut_lineage(good.groupBy("vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight")).withColumn("node", F.xxhash64("vec")))
-    # At most ``most_pivots`` vectors come to the driver.
+    classes = good.groupBy("vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    # The number is fixed once it stands in the checkpoint.
+    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
+    # About ``most_pivots`` vectors at most come to the driver, chosen by a hash.
     sizes = {r["dim"]: r["n"] for r in classes.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(8).collect()}
     pivots = {}
     for dim, n in sizes.items():
-        picked = classes.where(F.size("vec") == dim).orderBy(F.xxhash64("node", F.lit(11)), "node").limit(min(most_pivots, -(-n // cell_rows)))
-        pivots[int(dim)] = unit([r["vec"] for r in picked.select("vec").collect()])
-    spots = cut_lineage(
-        classes.select("node", "weight", "vec").mapInPandas(
-            _replicate(pivots, cosine),
-            f"dim int, cell long, home boolean, node long, weight long, vec {classes.schema['vec'].dataType.simpleString()}",
-        )
-    )
-    parts = spots.groupBy("dim", "cell").agg(
-        F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("n_right"), F.ceil(F.count_if("home") / tile).cast("int").alias("n_left")
-    ).where("n_left > 0")
+        want = min(most_pivots, -(-n // cell_rows))
+        picked = classes.where(F.size("vec") == dim).where(F.pmod(F.xxhash64("vec", F.lit(11)), F.lit(n)) < want)
+        found = [r["vec"] for r in picked.select("vec").collect()]
+        if found:
+            pivots[int(dim)] = unit(found)
+    spots = written(classes.select("node", "weight", "vec").mapInPandas(_replicate(pivots, cosine), "dim int, cell long, home boolean, node long, weight long, vec binary"))
+    parts = spots.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("slices"))
     d = spots.join(parts, ["dim", "cell"])
-    salt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
-    right = d.select(
-        "dim", "cell", "node", "weight", "vec", F.lit(False).alias("left"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: i * F.col("n_right") + salt("n_right", 1))).alias("tile"),
-    )
-    left = d.where("home").select(
-        "dim", "cell", "node", "weight", "vec", F.lit(True).alias("left"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("n_right") - 1), lambda i: salt("n_left", 2) * F.col("n_right") + i)).alias("tile"),
-    )
-    tiles = left.unionByName(right).repartition("dim", "cell", "tile").sortWithinPartitions("dim", "cell", "tile")
-    found = cut_lineage(tiles.mapInPandas(_compare(cosine), "a long, b long, n long"))
+    # A member is in one slice of its cell; a home vector passes by in each of them.
+    members = d.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).withColumn("passing", F.lit(0))
+    homes = d.where("home").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("passing", F.lit(1))
+    order = ["dim", "cell", "slice", "passing"]
+    groups = members.unionByName(homes).drop("slices").repartition("dim", "cell", "slice").sortWithinPartitions(*order)
+    found = cut_lineage(groups.mapInArrow(_compare(cosine), "a long, b long, n long"))
     near = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("near"))
     comp = components(found.where("b is not null").select("a", "b").distinct())
     d = classes.join(near, "node", "left").join(comp, "node", "left").select(
