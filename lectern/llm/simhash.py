@@ -174,17 +174,17 @@ def links(fps: DataFrame, tile: int = TILE, layout: Layout | None = None) -> Dat
     )
     # Nearly all anchors are one tile: every row once, on both sides where it is at home.
     one = spots.join(sizes.where("n_right = 1"), "anchor").select(
-        "anchor", "fp", F.col("home").alias("left"), F.lit(True).alias("right"), F.lit(0).alias("tile")
+        "anchor", "fp", F.col("home").alias("left"), F.lit(True).alias("right"), F.lit(0).cast("bigint").alias("tile")
     )
     d = spots.join(sizes.where("n_right > 1"), "anchor")
     salt = lambda n, seed: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(n))
     right = d.select(
         "anchor", "fp", F.lit(False).alias("left"), F.lit(True).alias("right"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: i * F.col("n_right") + salt("n_right", 1))).cast("int").alias("tile"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: i * F.col("n_right") + salt("n_right", 1))).alias("tile"),
     )
     left = d.where("home").select(
         "anchor", "fp", F.lit(True).alias("left"), F.lit(False).alias("right"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("n_right") - 1), lambda i: salt("n_left", 2) * F.col("n_right") + i)).cast("int").alias("tile"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("n_right") - 1), lambda i: salt("n_left", 2) * F.col("n_right") + i)).alias("tile"),
     )
     tiles = one.unionByName(left).unionByName(right).repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
     return tiles.mapInPandas(_compare, "a long, b long").distinct()
