@@ -33,6 +33,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # A column called like the operator's output keeps its values under another name meanwhile.
+    own = docs.columns
+    docs = docs.withColumnRenamed("secrets", "_llm_own_secrets")
     found = secrets.scan(docs)
     text = F.when(F.col("text").isNull(), F.lit(None)).when(F.size("secrets") == 0, F.col("text")).otherwise(
         secrets.redact(text_of(), F.col("secrets"))
@@ -40,7 +43,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("secrets") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = out.drop("secrets") if "secrets" in own else out
+    return out.withColumnRenamed("_llm_own_secrets", "secrets").select(*own)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
