@@ -2,9 +2,10 @@
 
 Documents of a source are dealt into blocks by a hash, and the blocks are put into a hashed order. A source whose target
 is ``x`` times its words is passed ``floor(x)`` times as a whole; of the rest, rows are taken from the front of the order
-of blocks and, in a block, of hashes, whenever they fit the room left. Running sums over the blocks tell up to where all
+of blocks, in a block the longest first, whenever they fit the room left. Running sums over the blocks tell up to where all
 rows that fit by themselves fit together; the block on the border is filled row by row, and what room it leaves is carried
-on to the blocks after it, until no row left fits. Every (pass, block) is one
+on to the blocks after it, until no row left fits. Room that is then left goes to one more copy of rows, as long as none
+comes more often than the cap allows. Every (pass, block) is one
 *draw*; the draws of all sources are split over output shards by a tree: a node with a vector of draws per source hands
 a multivariate-hypergeometric part of it to its left half and the rest to its right half. Each leaf is a shard that owns
 a disjoint range of every source's permuted draws; its documents are shuffled by a hash of their own.
@@ -90,7 +91,7 @@ def _take(items: DataFrame, rest: dict[int, int], seed: int) -> tuple[DataFrame,
     spark = items.sparkSession
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "key", "doc_id"], kind="stable")
+        pdf = pdf.assign(small=-pdf["size"]).sort_values(["small", "turn", "key", "doc_id"], kind="stable").drop(columns="small")
         room, took = int(pdf["left"].iloc[0]), []
         for size, rows in zip(pdf["size"].tolist(), pdf["rows"].tolist()):
             took.append(min(rows, room // size))
@@ -144,7 +145,7 @@ def mix_plan(
         .groupBy("doc_id", "source", "key").agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"))
     )
     # One row per source comes to the driver, nothing per document.
-    per = keys.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    per = keys.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("w"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).collect()
     per.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["w"]) for r in per]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(per))], cap)
@@ -162,39 +163,52 @@ def mix_plan(
     order = Window.partitionBy("source_no").orderBy(F.xxhash64("source_no", "block", F.lit(seed + 1)), "block")
     blocks = placed.select("source_no", "block").distinct().withColumn("rank", (F.row_number().over(order) - 1).cast("bigint"))
     items = cut_lineage(placed.join(blocks, ["source_no", "block"]))
-    ranges, filled = _take(items, {r[1]: r[5] for r in rows}, seed)
-    inside = F.col("size").between(1, F.col("room"))
-    items = cut_lineage(
-        items.join(F.broadcast(ranges), (items["source_no"] == ranges["_no"]) & (F.col("rank") > F.col("after")) & (F.col("rank") < F.col("until")), "left")
-        .join(filled, ["source_no", "block", "key"], "left")
-        .withColumn("extra", F.when(inside, F.col("rows")).otherwise(F.coalesce("took", F.lit(0).cast("bigint"))))
-        .drop("_no", "after", "until", "room", "took", "words")
-    )
-    # Blocks that the last pass takes from stand before all others.
-    front = Window.partitionBy("source_no").orderBy(F.col("some").desc(), "rank")
-    blocks = items.groupBy("source_no", "block", "rank").agg((F.max("extra") > 0).alias("some"))
-    blocks = cut_lineage(blocks.select("source_no", "block", "some", (F.row_number().over(front) - 1).cast("bigint").alias("rank")))
-    drawn = {r["source_no"]: int(r["n"]) for r in blocks.where("some").groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draws = [(r[4] * r[6] + drawn.get(r[1], 0)) for r in rows]
+    inside, least = F.col("size").between(1, F.col("room")), {i: r["least"] for i, r in enumerate(per)}
+    room, extras = {r[1]: r[5] for r in rows}, []
+    # The last pass; what room it leaves goes to further copies, while rows may come again.
+    while room := {no: left for no, left in room.items() if least[no] and left >= least[no] and rows[no][4] + len(extras) < int(cap)}:
+        ranges, filled = _take(items, room, seed)
+        extras.append(f"extra{len(extras)}")
+        items = cut_lineage(
+            items.join(F.broadcast(ranges), (items["source_no"] == ranges["_no"]) & (F.col("rank") > F.col("after")) & (F.col("rank") < F.col("until")), "left")
+            .join(filled, ["source_no", "block", "key"], "left")
+            .withColumn(extras[-1], F.when(inside, F.col("rows")).otherwise(F.coalesce("took", F.lit(0).cast("bigint"))))
+            .drop("_no", "after", "until", "room", "took", "words")
+        )
+        used = {r["source_no"]: int(r["w"] or 0) for r in items.groupBy("source_no").agg(F.sum(F.col(extras[-1]) * F.col("size")).alias("w")).collect()}
+        room = {no: left - used.get(no, 0) for no, left in room.items()}
+    # Times that some row of the block is taken once more.
+    more = sum((F.max(F.col(e) > 0).cast("int") for e in extras), F.max(F.lit(0)))
+    # Blocks that rows are taken from once more stand before all others, the more often the earlier.
+    front = Window.partitionBy("source_no").orderBy(F.col("more").desc(), "rank")
+    blocks = items.groupBy("source_no", "block", "rank").agg(more.alias("more"))
+    blocks = cut_lineage(blocks.select("source_no", "block", "more", (F.row_number().over(front) - 1).cast("bigint").alias("rank")))
+    taken = {r["source_no"]: r for r in blocks.groupBy("source_no").agg(*[F.count_if(F.col("more") > i).alias(f"d{i}") for i in range(len(extras) or 1)]).collect()}
+    drawn = [[int(taken[r[1]][f"d{i}"]) for i in range(len(extras) or 1)] for r in rows]
+    draws = [r[4] * r[6] + sum(d) for r, d in zip(rows, drawn)]
     if not sum(draws):
         draws = [1] + draws[1:] if draws else [1]
     leaves = _shards(spark, draws, max(1, sum(draws) // shard_draws), seed)
     upto = F.sum("n").over(Window.partitionBy("source_no").orderBy("shard"))
     leaves = leaves.withColumn("upto", upto)
     draw = leaves.select("source_no", "shard", F.explode(F.expr("sequence(upto - n, upto - 1)")).alias("draw"))
-    # Draw number = pass * blocks + rank, so a block meets its shards by an equi-join.
-    n_blocks = sources.select("source_no", F.col("n_blocks").alias("_nb"))
-    draw = draw.join(n_blocks, "source_no").select(
-        "source_no", F.expr("draw % _nb").alias("rank"), F.expr("draw div _nb").alias("pass"), "shard"
+    # Draws are numbered pass by pass and, in a pass, by rank, so a block meets its shards by an equi-join.
+    ends = [(r[1], sum(([r[6]] * r[4] + d)[: i + 1]), ([r[6]] * r[4] + d)[i], i) for r, d in zip(rows, drawn) for i in range(r[4] + len(d))]
+    passes = spark.createDataFrame(ends, "source_no int, _end long, _size long, pass long")
+    draw = draw.join(F.broadcast(passes), "source_no").where((F.col("draw") < F.col("_end")) & (F.col("draw") >= F.col("_end") - F.col("_size"))).select(
+        "source_no", (F.col("draw") - F.col("_end") + F.col("_size")).alias("rank"), "pass", "shard"
     )
     dealt = draw.groupBy("source_no", "rank").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("drawn"))
     table = blocks.join(dealt, ["source_no", "rank"], "left").select("source_no", "block", "drawn")
     out = items.drop("rank").withColumnRenamed("rows", "equal").join(table, ["source_no", "block"])
-    # The first rows of an item are taken once more than the others.
+    # The first rows of an item are taken more often than the others.
     whole = F.when(F.col("size") == 0, 0).otherwise(F.col("whole")).cast("bigint")
-    parts = F.array(
-        F.struct(F.col("extra").alias("rows"), F.lit(0).cast("bigint").alias("first"), (whole + 1).alias("copies")),
-        F.struct((F.col("equal") - F.col("extra")).alias("rows"), F.col("extra").alias("first"), whole.alias("copies")),
+    upto = F.array_sort(F.array(F.lit(0).cast("bigint"), *[F.col(e) for e in extras], F.col("equal")))
+    parts = F.transform(
+        F.sequence(F.lit(1), F.lit(len(extras) + 1)),
+        lambda i: F.struct(
+            (F.get(upto, i) - F.get(upto, i - 1)).alias("rows"), F.get(upto, i - 1).alias("first"), (whole + F.lit(len(extras) + 1) - i).alias("copies")
+        ),
     )
     out = out.withColumn("part", F.explode(F.filter(parts, lambda p: p["rows"] > 0))).select("*", "part.*")
     return out.select(
