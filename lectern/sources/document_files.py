@@ -7,6 +7,7 @@ names and sizes, and a task reads the files of one share of about ``share_bytes`
 As a stream, an offset is the number of files known and the newest names at it are kept in a log of batches below
 ``log``: a batch is the sorted names that no earlier batch has, at most ``max_files`` of them, written there once. A
 restarted stream reads each batch with the files it had, and files that arrive late or under any name come in a later one.
+A run with ``availableNow`` takes one batch; pull until a run brings nothing, or use a trigger with an interval.
 """
 
 from __future__ import annotations
