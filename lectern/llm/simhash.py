@@ -4,8 +4,9 @@ A fingerprint is cut into pieces, so that two which differ in at most four bits
 one of three pieces, or two of two. The anchors of a piece are the words of a covering code of radius 1: a perfect code on
 its low bits, all words on the bits above. A fingerprint is *home* at its nearest anchor and is replicated to every anchor
 within covering radius plus these few bits; there it meets all its partners. The full 64 bits are compared per anchor. The
-anchors go by the number of distinct fingerprints: three pieces have three times 2^17, two pieces twice 2^27, so that an
-anchor's members stay few; both find the same links. Anchors with many members are cut into tiles of bounded size, and a
+anchors go by the number of distinct fingerprints: three pieces have three times 2^17, two pieces twice 2^27 at more replicas
+each, so that an anchor's members stay few; both find the same links. Replicas at anchors where nobody else is at home are
+dropped as soon as they are made. Anchors with many members are cut into tiles of bounded size, and a
 tile gives the edges of a spanning forest, never all pairs.
 
 Results: a null text is an empty one; texts without a word have fingerprint zero and link with each other. Equal
@@ -21,6 +22,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,7 +83,7 @@ class Layout:
 FEW = Layout(((0, 21), (21, 21), (42, 22)), 4, 2)
 MANY = Layout(((0, 32), (32, 32)), 5, 3)
 # Distinct fingerprints from which the anchors of ``MANY`` are used. Both layouts find all links.
-MANY_FROM = 1 << 21
+MANY_FROM = 1 << 14
 
 
 def layout_for(n: int) -> Layout:
@@ -127,18 +129,38 @@ def anchors(fp: np.ndarray, piece: int, layout: Layout = FEW) -> tuple[np.ndarra
     return np.concatenate(rows), np.concatenate(at), np.concatenate(home)
 
 
-def _replicate(layout: Layout):
+def _replicate(layout: Layout, homes: bool):
+    """Rows ``(anchor, fp, home)``: the homes of fingerprints alone, or all their replicas."""
+
     def run(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), 2000):
-                fp = pdf["fp"].to_numpy(np.int64)[lo : lo + 2000]
+        for batch in batches:
+            every = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo in range(0, len(every), 2000):
+                fp = every[lo : lo + 2000]
                 for p in range(len(layout.pieces)):
                     r, a, h = anchors(fp, p, layout)
-                    yield pd.DataFrame({"anchor": (p << 32) | a, "fp": fp[r], "home": h})
+                    if homes:
+                        r, a, h = r[h], a[h], h[h]
+                    yield pa.RecordBatch.from_arrays([pa.array((p << 32) | a), pa.array(fp[r]), pa.array(h)], names=["anchor", "fp", "home"])
 
     return run
 
 
+def _spots(fps: DataFrame, layout: Layout) -> DataFrame:
+    """Replicas at anchors where another fingerprint is at home, and the homes there. All others meet nobody.
+
+    The homes are written, one row per fingerprint and piece, so Spark knows their size and may broadcast them; replicas
+    are made and dropped again in the same stage then, or shuffled once.
+    """
+    kind, one = "anchor long, fp long, home boolean", fps.select("fp")
+    homes = written(one.mapInArrow(_replicate(layout, True), kind))
+    at = homes.select(F.col("anchor").alias("_anchor"), F.col("fp").alias("_fp"))
+    replicas = one.mapInArrow(_replicate(layout, False), kind)
+    met = written(replicas.join(at, (F.col("anchor") == F.col("_anchor")) & (F.col("fp") != F.col("_fp")), "left_semi"))
+    visited = homes.join(met.where("not home").select("anchor").distinct(), "anchor", "left_semi").select("anchor", "fp", "home")
+    return written(met.where("not home").unionByName(met.where("home").unionByName(visited).distinct()))
+
+
 def _compare(batches):
     keys = ["anchor", "tile"]
     for pdf in whole_groups(batches, keys):
@@ -166,7 +188,7 @@ def _compare(batches):
 def links(fps: DataFrame, tile: int = TILE, layout: Layout | None = None) -> DataFrame:
     """``(a, b)``: links that join the same fingerprints as all pairs within four bits do. ``fps`` has distinct ``fp``."""
     layout = layout or layout_for(fps.count())
-    spots = written(fps.select("fp").mapInPandas(_replicate(layout), "anchor long, fp long, home boolean"))
+    spots = _spots(fps, layout)
     sizes = written(
         spots.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("n_home"))
         .where("n > 1 and n_home > 0")
