@@ -326,6 +326,19 @@ def validated_queries(spark, sf):
     return ok.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select("event_id", "reason")
 
 
+@query("validated_options", """SELECT event_id, CASE WHEN length(props) < 1 OR length(props) > 2000 THEN 'query_length' WHEN value / 40 NOT BETWEEN 0.0 AND 1.0 THEN 'threshold'
+  WHEN user_id % 3 > 0 AND value / 20 > 1.0 THEN 'alpha' END AS reason, CASE WHEN value / 10 > 1.0 THEN 'importance' END AS memory_reason FROM events""")
+def validated_options(spark, sf):
+    """Weights of requests, where they are given, and importances of memories."""
+    e = I.events(spark, sf).select(
+        "event_id", F.col("props").alias("text"), F.lit(5).alias("top_k"), (F.col("value") / 40).alias("threshold"),
+        F.when(F.col("user_id") % 3 > 0, F.col("value") / 20).alias("alpha"), F.col("props").alias("content"), (F.col("value") / 10).alias("importance"),
+    )
+    ok, bad = FL.validate_queries(e)
+    out = ok.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
+    return out.select("event_id", "reason", FL.memory_problem().alias("memory_reason"))
+
+
 @query("search_messages", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the') AND role = 'assistant'")
 def search_messages(spark, sf):
     c = read_table(spark, sf, "conversations")

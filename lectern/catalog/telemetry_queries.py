@@ -150,6 +150,19 @@ def retrieval_logs(spark, sf):
     )
 
 
+@query("retrieval_log_columns", """SELECT item_id AS query_id, 's' || item_id AS session_id, 'r' || (item_id * 2) AS request_id, item_id / 4.0::DOUBLE AS retrieval_latency_ms,
+  0.0::DOUBLE AS reranking_latency_ms, CASE WHEN item_id % 2 = 0 THEN item_id / 2.0::DOUBLE ELSE 0.0 END AS llm_latency_ms, '{}' AS metadata FROM benchmark""")
+def retrieval_log_columns(spark, sf):
+    """What a log row carries of its request, and the defaults of what the request did not measure."""
+    i = F.col("query_id")
+    q = I.queries(spark, sf).select(
+        "*", F.lit(20).alias("candidate_count"), F.lit(1.0).alias("total_latency_ms"), I.now().alias("created_at"), F.concat(F.lit("s"), i.cast("string")).alias("session_id"),
+        F.concat(F.lit("r"), (i * 2).cast("string")).alias("request_id"), (i / 4.0).alias("retrieval_latency_ms"), F.when(i % 2 == 0, i / 2.0).alias("llm_latency_ms"),
+    )
+    none = q.select("query_id", F.lit("").alias("chunk_id"), F.lit(1).alias("rank")).where("false")
+    return N.to_log(none, q).select("query_id", "session_id", "request_id", "retrieval_latency_ms", "reranking_latency_ms", "llm_latency_ms", "metadata")
+
+
 # --- paging --------------------------------------------------------------------------------------
 def logs(spark, sf):
     method = N.method_label(F.col("event_type") != "error", F.col("event_type") == "view")

@@ -70,18 +70,34 @@ def is_expired(expires: str | Column, now: Column) -> Column:
     return F.coalesce(now > as_col(expires), F.lit(False))
 
 
-def query_problem(text="text", top_k="top_k", threshold="threshold") -> Column:
-    """First broken bound of a request, null when it is valid."""
+def query_problem(text="text", top_k="top_k", threshold="threshold", alpha=None) -> Column:
+    """First broken bound of a request, null when it is valid. A request without a weight ``alpha`` has the default."""
     n = F.length(as_col(text))
+    weight = F.lit(False) if alpha is None else ~F.coalesce(as_col(alpha).between(0.0, 1.0) & ~F.isnan(as_col(alpha)), F.lit(True))
     return (
         F.when(n.isNull() | (n < 1) | (n > 2000), "query_length")
         .when(~as_col(top_k).between(1, 20), "top_k")
         .when(~as_col(threshold).between(0.0, 1.0), "threshold")
+        .when(weight, "alpha")
     )
 
 
+def memory_problem(content="content", importance="importance") -> Column:
+    """First broken bound of a memory, null when it is valid; a memory without an importance has the default."""
+    value = as_col(importance)
+    return F.when(as_col(content).isNull(), "content").when(value.isNotNull() & (F.isnan(value) | ~value.between(0.0, 1.0)), "importance")
+
+
 def validate_queries(q: DataFrame) -> tuple[DataFrame, DataFrame]:
-    checked = q.withColumn("reason", query_problem())
+    return _checked(q, query_problem(alpha="alpha" if "alpha" in q.columns else None))
+
+
+def validate_memories(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _checked(m, memory_problem())
+
+
+def _checked(rows: DataFrame, problem: Column) -> tuple[DataFrame, DataFrame]:
+    checked = rows.withColumn("reason", problem)
     return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL")
 
 

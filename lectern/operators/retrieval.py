@@ -363,6 +363,10 @@ def passage_truth(passages: DataFrame, docs: DataFrame, width: int = 5) -> DataF
         asked = docs.select(F.col("doc_id").alias("query_id"), "text")
         found = match_domains(asked, short.withColumnRenamed("query_id", "_item"))
         parts.append(found.select(F.col("_item").alias("query_id"), F.col("query_id").alias("doc_id")).distinct())
+    if not parts:
+        # No passages: nothing to find.
+        kinds = ", ".join(f"{n} {d.schema[n].dataType.simpleString()}" for d, n in ((p, "query_id"), (docs, "doc_id")))
+        return docs.sparkSession.createDataFrame([], kinds)
     pairs = parts[0]
     for extra in parts[1:]:
         pairs = pairs.unionByName(extra)

@@ -174,7 +174,13 @@ def method_label(found: Column, reranked: Column) -> Column:
 
 
 def to_log(results: DataFrame, metrics: DataFrame, reranking: bool = True) -> DataFrame:
-    """Retrieval log row per request from its results and metrics; both keyed by ``query_id``."""
+    """Retrieval log row per request from its results and metrics; both keyed by ``query_id``.
+
+    What ``metrics`` does not carry has its default: no session and request, latencies of 0, empty metadata.
+    """
+    def carried(name: str, default: Column) -> Column:
+        return (F.coalesce(F.col(name), default) if name in metrics.columns else default).alias(name)
+
     ids = results.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("_r")
     )
@@ -184,7 +190,8 @@ def to_log(results: DataFrame, metrics: DataFrame, reranking: bool = True) -> Da
         "query_id", "user_id", "text", F.coalesce(F.col("_r.chunk_id"), F.array().cast("array<string>")).alias("chunk_ids"),
         method_label(found, F.lit(reranking)).alias("retrieval_method"), "candidate_count",
         F.coalesce(F.size("_r"), F.lit(0)).alias("top_k"), (found & F.lit(reranking)).alias("reranking_enabled"),
-        "total_latency_ms", "created_at",
+        "total_latency_ms", "created_at", carried("session_id", F.lit(None).cast("string")), carried("request_id", F.lit(None).cast("string")),
+        *[carried(f"{stage}_latency_ms", F.lit(0.0)) for stage in ("retrieval", "reranking", "llm")], carried("metadata", F.lit("{}")),
     )
 
 

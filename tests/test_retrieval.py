@@ -257,3 +257,16 @@ def test_index_odd_vectors(spark, tmp_path):
     VS.build_index(sc.where("false"), str(tmp_path / "none"))
     assert VS.index_search(spark, sq, str(tmp_path / "none")).count() == 0
     assert VS.vector_search(q, c.where("false")).count() == 0 and VS.vector_search(q.where("false"), c).count() == 0
+
+
+def test_no_passages_and_odd_options(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    empty = spark.createDataFrame([], "query_id long, text string")
+    assert R.passage_truth(empty, docs).collect() == [] and R.passage_truth(empty, docs).columns == ["query_id", "doc_id"]
+    nan = float("nan")
+    q = spark.createDataFrame([(1, "t", 5, 0.5, None), (2, "t", 5, 0.5, 1.5), (3, "t", 5, 0.5, nan), (4, "t", 5, 0.5, 0.0)], "id int, text string, top_k int, threshold double, alpha double")
+    ok, bad = FL.validate_queries(q)
+    assert {r.id for r in ok.collect()} == {1, 4} and {r.id: r.reason for r in bad.collect()} == {2: "alpha", 3: "alpha"}
+    m = spark.createDataFrame([(1, "c", None), (2, "c", -0.1), (3, None, 0.5), (4, "c", nan), (5, "c", 1.0)], "id int, content string, importance double")
+    ok, bad = FL.validate_memories(m)
+    assert {r.id for r in ok.collect()} == {1, 5} and {r.id: r.reason for r in bad.collect()} == {2: "importance", 3: "content", 4: "importance"}
