@@ -5,8 +5,8 @@ one of three pieces, or two of two. The anchors of a piece are the words of a co
 its low bits, all words on the bits above. A fingerprint is *home* at its nearest anchor and is replicated to every anchor
 within covering radius plus these few bits; there it meets all its partners. The full 64 bits are compared per anchor. The
 anchors go by the number of distinct fingerprints: three pieces have three times 2^17, two pieces twice 2^27 at more replicas
-each, so that an anchor's members stay few; both find the same links. Replicas at anchors where nobody else is at home are
-dropped as soon as they are made. Anchors with many members are cut into tiles of bounded size, and a
+each, so that an anchor's members stay few; both find the same links. A bit per anchor, 2^27 of them a piece at most, tells the
+tasks where anybody is at home; replicas at all other anchors are dropped as soon as they are made. Anchors with many members are cut into tiles of bounded size, and a
 tile gives the edges of a spanning forest, never all pairs.
 
 Results: a null text is an empty one; texts without a word have fingerprint zero and link with each other. Equal
@@ -129,35 +129,75 @@ def anchors(fp: np.ndarray, piece: int, layout: Layout = FEW) -> tuple[np.ndarra
     return np.concatenate(rows), np.concatenate(at), np.concatenate(home)
 
 
-def _replicate(layout: Layout, homes: bool):
-    """Rows ``(anchor, fp, home)``: the homes of fingerprints alone, or all their replicas."""
+def _number(anchor: np.ndarray, layout: Layout) -> np.ndarray:
+    """Number of an anchor among those of its piece: its bits without the check bits, which stand at the powers of two."""
+    out, at = np.zeros(len(anchor), np.int64), 0
+    for k in range(1, layout.check):
+        width = (1 << k) - 1
+        out |= (anchor >> (1 << k) & ((1 << width) - 1)) << at
+        at += width
+    return out | anchor >> layout.code << at
+
+
+def _home_bits(homes: DataFrame, layout: Layout) -> list[np.ndarray]:
+    """For each piece a bit per anchor: whether any fingerprint is at home there. At most 2^27 bits a piece come to the driver,
+    whatever the number of fingerprints."""
+    # Spark numbers the bits of its bitmaps from one.
+    one = F.col("number") + 1
+    parts = homes.groupBy("piece", F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits")).collect()
+    out = [np.zeros(1 << max(bits - layout.check - 3, 12), np.uint8) for _, bits in layout.pieces]
+    for r in parts:
+        # Buckets count from one and hold 2^15 bits.
+        held, first = np.frombuffer(r["bits"], np.uint8), (r["bucket"] - 1) << 12
+        out[r["piece"]][first : first + len(held)] = held[: len(out[r["piece"]]) - first]
+    return out
+
+
+def _homes(layout: Layout):
+    """Rows ``(piece, number, anchor, fp)``: where fingerprints are at home."""
+
+    def run(batches):
+        for batch in batches:
+            fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            for p in range(len(layout.pieces)):
+                first, bits = layout.pieces[p]
+                part = ((fp.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                s = _syndrome(part, layout)
+                anchor = part ^ np.where(s == 0, 0, np.int64(1) << np.maximum(s - 1, 0))
+                names = ["piece", "number", "anchor", "fp"]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(fp), p), _number(anchor, layout), (p << 32) | anchor, fp)], names=names)
+
+    return run
+
+
+def _replicate(layout: Layout, bits):
+    """Rows ``(anchor, fp, home)``: replicas at anchors where somebody is at home."""
 
     def run(batches):
+        at_home = bits.value
         for batch in batches:
             every = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
             for lo in range(0, len(every), 2000):
                 fp = every[lo : lo + 2000]
                 for p in range(len(layout.pieces)):
                     r, a, h = anchors(fp, p, layout)
-                    if homes:
-                        r, a, h = r[h], a[h], h[h]
+                    n = _number(a, layout)
+                    kept = np.flatnonzero(at_home[p][n >> 3] >> (n & 7).astype(np.uint8) & 1)
+                    r, a, h = r[kept], a[kept], h[kept]
                     yield pa.RecordBatch.from_arrays([pa.array((p << 32) | a), pa.array(fp[r]), pa.array(h)], names=["anchor", "fp", "home"])
 
     return run
 
 
 def _spots(fps: DataFrame, layout: Layout) -> DataFrame:
-    """Replicas at anchors where another fingerprint is at home, and the homes there. All others meet nobody.
-
-    The homes are written, one row per fingerprint and piece, so Spark knows their size and may broadcast them; replicas
-    are made and dropped again in the same stage then, or shuffled once.
-    """
-    kind, one = "anchor long, fp long, home boolean", fps.select("fp")
-    homes = written(one.mapInArrow(_replicate(layout, True), kind))
+    """Replicas at anchors where another fingerprint is at home, and the homes there. All others meet nobody."""
+    one = fps.select("fp")
+    homes = written(one.mapInArrow(_homes(layout), "piece long, number long, anchor long, fp long"))
+    bits = fps.sparkSession.sparkContext.broadcast(_home_bits(homes, layout))
+    replicas = written(one.mapInArrow(_replicate(layout, bits), "anchor long, fp long, home boolean"))
     at = homes.select(F.col("anchor").alias("_anchor"), F.col("fp").alias("_fp"))
-    replicas = one.mapInArrow(_replicate(layout, False), kind)
     met = written(replicas.join(at, (F.col("anchor") == F.col("_anchor")) & (F.col("fp") != F.col("_fp")), "left_semi"))
-    visited = homes.join(met.where("not home").select("anchor").distinct(), "anchor", "left_semi").select("anchor", "fp", "home")
+    visited = homes.select("anchor", "fp", F.lit(True).alias("home")).join(met.where("not home").select("anchor").distinct(), "anchor", "left_semi")
     return written(met.where("not home").unionByName(met.where("home").unionByName(visited).distinct()))
 
 

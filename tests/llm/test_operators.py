@@ -194,3 +194,12 @@ def test_counterfactual_penalty():
     other = [[1, 7] if r == [1, 8] else [2, 7] if r == [2, 8] else None for r in own]
     gap = lambda m: abs(m.weights.get(7, 0) - m.weights.get(8, 0))
     assert gap(toxicity.fit_rows(y, own, other, 1 / 3, fairness=100.0)) < 0.2 * gap(toxicity.fit_rows(y, own, other, 1 / 3, fairness=0.0))
+
+
+@pytest.mark.parametrize("layout", [simhash.FEW, simhash.MANY])
+def test_anchors_are_numbered(layout):
+    for p, (_, bits) in enumerate(layout.pieces):
+        _, a, _ = simhash.anchors(np.random.default_rng(p).integers(-(2**63), 2**63, 300, dtype=np.int64), p, layout)
+        a = np.unique(a)
+        n = simhash._number(a, layout)
+        assert len(np.unique(n)) == len(a) and n.min() >= 0 and n.max() < 1 << (bits - layout.check)
