@@ -8,11 +8,12 @@ from lectern.operators.sizing import run_dir
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema, per_trigger: int | None = None) -> DataFrame:
-    """Stream over the parquet files of one table."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """Stream over the parquet files of one table, be it a single file or a folder of part files."""
+    reader = spark.readStream.schema(schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(folder)
+    # A pattern, as the source takes a plain path for a folder.
+    return reader.parquet(f"{folder.rstrip('/')}/{name}.parque[t]")
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
