@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
 from lectern.operators import retrieval as R
+from lectern.operators import term_blocks as TB
 from lectern.operators.sizing import cut_lineage, run_dir
 
 HEAD = 64
@@ -54,11 +55,10 @@ def _place(chunk: str, n_blocks: str) -> Column:
 def build(chunks: DataFrame, path: str, k1: float = DEFAULTS.k1, b: float = DEFAULTS.b, head: int = HEAD, block: int = BLOCK, buckets: int | None = None) -> None:
     """Store the postings of scoped chunks ``(scope, chunk_id, content)``. ``k1`` and ``b`` are part of the impacts."""
     spark = chunks.sparkSession
-    postings, _, stats = R.bm25_index(chunks.where("scope IS NOT NULL AND chunk_id IS NOT NULL"))
-    raw = run_dir(spark, "postings")
-    postings.write.parquet(f"{raw}/postings")
-    postings = spark.read.parquet(f"{raw}/postings")
-    buckets = buckets or min(MOST, max(FEWEST, -(-postings.count() // BUCKET_POSTINGS)))
+    packed, counts, stats = R.bm25_index(chunks)
+    postings = TB.posting_rows(packed)
+    n = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    buckets = buckets or min(MOST, max(FEWEST, -(-n // BUCKET_POSTINGS)))
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/meta")
     stats.withColumn("avgdl", F.greatest("avgdl", F.lit(1e-12))).write.parquet(f"{path}/stats")
     norm = F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")
