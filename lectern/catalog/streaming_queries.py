@@ -100,16 +100,26 @@ BATCHES = 3
 
 
 def in_batches(df, name, column):
-    """The rows as a stream of ``BATCHES`` files, in ranges of a column that follow each other."""
+    """The rows as a stream of ``BATCHES`` batches, in ranges of a column that follow each other."""
     spark = df.sparkSession
     folder = run_dir(spark, name)
     cuts = df.approxQuantile(column, [i / BATCHES for i in range(1, BATCHES)], 0.0)
+    # As many files for every batch; the stream takes files by age. A table of few splits gets one each.
+    files = -(-df.rdd.getNumPartitions() // BATCHES)
     for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
         part = df if low is None else df.where(F.col(column) > low)
         part = part if high is None else part.where(F.col(column) <= high)
-        # One file per batch; the stream takes files by age.
-        part.coalesce(1).write.parquet(f"{folder}/{i}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.parquet(f"{folder}/{i}")
+        # A split without rows leaves no file: empty ones make up for it, so that no batch takes files of the next.
+        for _ in range(files - file_count(spark, f"{folder}/{i}")):
+            df.limit(0).coalesce(1).write.mode("append").parquet(f"{folder}/{i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
+
+
+def file_count(spark, folder):
+    """Parquet files of a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+    return len(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
 
 
 @query("stream_ingest_batches", f"WITH {S.CHUNKS} SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS chars FROM chunks GROUP BY ALL")
