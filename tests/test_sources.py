@@ -141,3 +141,15 @@ def test_pruned_postings_leave_blocks_alone(spark, tmp_path):
     asked_ = P.asked_terms(spark, q, path)
     plan = asked_.join(spark.read.parquet(f"{path}/blocks"), ["scope", "term", "bucket"])._jdf.queryExecution().toString()
     assert "dynamicpruning" in plan.lower()
+
+
+def test_pruned_search_passes_no_pair(spark, tmp_path):
+    """Scores come out of the cells complete: no pair of query and chunk is a row of a join or an aggregate. Copies add up."""
+    data = corpus(5, 60) + [(r[0], r[1], r[2], f"{r[3]} {r[3]}", r[4]) for r in corpus(5, 60)[:20]]
+    q, c = FL.scope(spark.createDataFrame(asked(6), QUERIES), spark.createDataFrame(data, CHUNKS), True)
+    path = str(tmp_path / "p")
+    P.build(c, path, head=2, block=4, buckets=8)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, round(r.raw_score, 6)) for r in P.search(spark, q, path, 4).collect()}
+    assert got == {(r.query_id, r["rank"]): (r.chunk_id, round(r.raw_score, 6)) for r in R.bm25_search(q, c, 4, scoped=True).collect()}
+    plan = P._matched(spark, P.asked_terms(spark, q, path), path, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
