@@ -139,6 +139,29 @@ def test_lsh_finds_most_neighbours(spark):
     assert len(near & exact) / len(exact) > 0.8
 
 
+def test_lsh_passes_no_proposed_pair(spark):
+    """The neighbours of Spark's own join over the same hashes, without its pairs as rows of a shuffle."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from lectern.functions.vectors import cosine, l2_normalize
+
+    rows, queries = ([r for r in some if r[-1] is not None] for some in (corpus(9, 200), asked(10)))
+    dim = max(len(r[-1]) for r in rows)
+    rows, queries = ([r for r in some if len(r[-1]) == dim] for some in (rows, queries))
+    q, c = FL.scope(spark.createDataFrame(queries, QUERIES), spark.createDataFrame(rows, CHUNKS), True)
+    found = R.lsh_search(q, c, 5, 0.3, bucket_length=0.4, tables=2)
+    u, v = (d.withColumn("unit", array_to_vector(l2_normalize("embedding"))) for d in (q, c))
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=0.4, numHashTables=2, seed=7).fit(v.select("unit"))
+    pairs = model.approxSimilarityJoin(u, v, (2.0 - 0.6) ** 0.5 + 1e-9, "distance").select(
+        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(cosine("datasetA.embedding", "datasetB.embedding"), 9).alias("score")
+    )
+    want = R.top_k(pairs.where("score >= 0.3"), ["query_id"], [F.desc("score"), F.col("chunk_id")], 5)
+    plain = lambda d: {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 6)) for r in d.collect()}
+    assert plain(found) == plain(want)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_foreign_rows(spark):
     q, c = spark.createDataFrame(asked(), QUERIES), spark.createDataFrame(corpus(), CHUNKS)
     owners = {r[0]: r[2] for r in corpus()}
