@@ -32,6 +32,17 @@ def test_ids_equal_the_tokenizer():
         assert got == [want(t) for t in texts]
 
 
+def test_a_batch_of_texts_is_cut_in_bounded_memory():
+    import tracemalloc
+
+    ids, texts = tokens.Ids(tokens.path()), pa.array(["some plain words of a text, 12 of them or more. " * 40] * 2500)
+    tracemalloc.start()
+    n = sum(len(got) for _, got, _ in ids.blocks(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n % len(texts) == 0 and peak < 32 << 20
+
+
 @pytest.fixture(scope="module")
 def rows():
     out = [(i * 3, t) for i, t in enumerate(ODD)]
