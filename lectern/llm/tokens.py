@@ -4,20 +4,24 @@ In this vocabulary's own rule no piece spans a blank, runs of letters, single di
 letters are lower-cased. Texts are cut so by byte classes; every distinct piece of a block is encoded once by the
 tokenizer's model and its ids are dealt out by number. A part between blanks with anything else (a character that is
 neither ASCII nor a Latin-1 letter, a control character, an apostrophe, or ``<|`` as in the names of special tokens) goes
-whole through the tokenizer itself. So the ids are those of ``encode(text, add_special_tokens=False)``; nothing is kept
-from one block to the next.
+whole through the tokenizer itself. So the ids are those of ``encode(text, add_special_tokens=False)``. From one block to
+the next a task keeps the ids of short pieces, a bounded number of them; the others are encoded again.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-# A block takes about thirty times its bytes while it is cut, so this bounds a worker; larger ones are no faster.
+# A block takes about thirty times its bytes while it is cut, so this bounds a worker.
 BLOCK_BYTES = 1 << 19
+# Pieces whose ids are kept: at most twice this number, of at most these bytes each (about 150 bytes in all for a usual one).
+KNOWN, KNOWN_BYTES = 1 << 16, 32
 
 _BLANK, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -72,6 +76,9 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
+        # Packed ids of the latest pieces, and of those that were the latest before.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _whole(self, part: bytes) -> list[int]:
         return self.tokenizer.encode(part.decode("utf-8"), add_special_tokens=False).ids
@@ -80,6 +87,21 @@ class Ids:
         text = piece.decode("ascii") if piece.isascii() else piece.decode("latin-1").translate(_CHARACTERS)
         return [t.id for t in self.model.tokenize(text)]
 
+    def _packed(self, pieces: list[bytes], through: np.ndarray) -> list[bytes]:
+        """Ids of every piece as unsigned 32-bit integers; those that are ``through`` go whole through the tokenizer."""
+        out = list(map(self.known.get, pieces))
+        for i in np.flatnonzero(through).tolist():
+            out[i] = array("I", self._whole(pieces[i])).tobytes()
+        for i, ids in enumerate(out):
+            if ids is None:
+                piece = pieces[i]
+                out[i] = ids = self.older.get(piece) or array("I", self._plain(piece)).tobytes()
+                if len(piece) <= KNOWN_BYTES:
+                    self.known[piece] = ids
+                    if len(self.known) >= KNOWN:
+                        self.older, self.known = self.known, {}
+        return out
+
     def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)`` of a block of texts without nulls: text ``i`` has ``ids[bounds[i]:bounds[i + 1]]``, with its end."""
         texts = texts.cast(pa.large_string())
@@ -103,9 +125,9 @@ class Ids:
         number = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         through = np.zeros(len(words.dictionary), bool)
         through[number[odd]] = True
-        got = [self._whole(p) if t else self._plain(p) for p, t in zip(words.dictionary.to_pylist(), through.tolist())]
-        n_of = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(n_of.sum()))
+        got = self._packed(words.dictionary.to_numpy(zero_copy_only=False).tolist(), through)
+        n_of = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), np.uint32)
         first = np.cumsum(n_of) - n_of
         # Ids before every piece, then before every text.
         n = n_of[number]

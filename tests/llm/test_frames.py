@@ -43,6 +43,20 @@ def test_a_batch_of_texts_is_cut_in_bounded_memory():
     assert n % len(texts) == 0 and peak < 32 << 20
 
 
+def test_pieces_of_earlier_blocks_are_kept_within_a_bound(monkeypatch):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(90)]
+    texts, want = pa.array([" ".join(words[i % 7 :]) + " it's 日本" for i in range(60)] + ["long" * 99] * 2), reference()
+    for bound, most in ((1 << 16, 120), (16, 10**6)):
+        monkeypatch.setattr(tokens, "KNOWN", bound)
+        ids, calls = tokens.Ids(tokens.path()), []
+        plain = ids._plain
+        monkeypatch.setattr(ids, "_plain", lambda piece: calls.append(piece) or plain(piece))
+        got = [ids_[b[i] : b[i + 1]].tolist() for _, ids_, b in ids.blocks(texts, 500) for i in range(len(b) - 1)]
+        assert got == [want(t) for t in texts.to_pylist()]
+        assert len(calls) <= most and len(ids.known) < bound and len(ids.older) <= bound
+        assert not any(len(p) > tokens.KNOWN_BYTES for p in [*ids.known, *ids.older])
+
+
 @pytest.fixture(scope="module")
 def rows():
     out = [(i * 3, t) for i, t in enumerate(ODD)]
