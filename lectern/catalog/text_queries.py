@@ -13,7 +13,7 @@ from lectern.functions import vectors as vec
 from lectern.operators import documents as D
 from lectern.operators import filters as FL
 from lectern.operators.telemetry import redact_json
-from lectern.plans.ingest import cleaned_pages
+from lectern.plans.ingest import cleaned_pages, ingest_chunks
 from lectern.sources import tables as TB
 
 
@@ -275,10 +275,11 @@ def replace_chunks(spark, sf):
     from lectern.operators.sizing import run_dir
 
     path = run_dir(spark, "chunks")
-    c = I.chunks(spark, sf).select("doc_id", "chunk_index", "content")
-    TB.write_chunks(c.withColumn("version", F.lit("old")), path)
-    labelled = TB.read_table(spark, sf, "labels").select("doc_id")
-    TB.write_chunks(c.join(labelled, "doc_id", "left_semi").withColumn("version", F.lit("new")), path)
+    docs, labelled = I.docs(spark, sf), TB.read_table(spark, sf, "labels").select("doc_id")
+    # The labelled documents are chosen first: a join after the cutting would cut all texts again.
+    for version, d in (("old", docs), ("new", docs.join(labelled, "doc_id", "left_semi"))):
+        c = ingest_chunks(d, "fixed").select("doc_id", "chunk_index", "content")
+        TB.write_chunks(c.withColumn("version", F.lit(version)), path)
     return TB.read_chunks(spark, path).groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("n"))
 
 

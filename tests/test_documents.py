@@ -118,6 +118,36 @@ def test_chunk_table(spark, tmp_path):
     assert {r.doc_id for r in TB.read_chunks(spark, path).collect()} == {5}
 
 
+def test_changed_chunks_are_made_once(spark, tmp_path):
+    path, seen = str(tmp_path / "chunks"), str(tmp_path / "seen")
+
+    def count(batches):
+        for b in batches:
+            with open(seen, "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    kind = "doc_id long, chunk_index int, content string"
+    first = spark.createDataFrame([(i, k, f"old {i}") for i in [*range(30), None] for k in range(5)], kind)
+    TB.write_chunks(first, path, buckets=4)
+    changed = [(i, k, f"new {i}") for i in [3, 7, 40, None] for k in range(2)]
+    TB.write_chunks(spark.createDataFrame(changed, kind).mapInArrow(count, kind), path, buckets=4)
+    # A null key replaces none.
+    kept = [tuple(r) for r in first.collect() if r.doc_id not in (3, 7, 40)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(map(tuple, TB.read_chunks(spark, path).collect()), key=key) == sorted(kept + changed, key=key)
+    assert len(open(seen).read()) == len(changed)
+    # Nothing changes without chunks.
+    TB.write_chunks(first.where("false"), path, buckets=4)
+    assert TB.read_chunks(spark, path).count() == len(kept) + len(changed)
+
+
+def test_windows_of_long_texts(spark):
+    texts = ["", " ", "a", *("".join(chr(97 + i * i % 23) if i % 5 else "é 日😀"[i % 4] for i in range(n)) for n in (9, 10, 11, 64, 505, 513, 4000))]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", D.fixed_chunks("t", 10, 3).alias("w")).collect()
+    assert {r.i: r.w for r in got} == {i: D.split_text(t, "fixed", 10, 3) for i, t in enumerate(texts)}
+
+
 def test_sql_functions(spark):
     register(spark)
     spark.createDataFrame([(1, "One. Two. Three.")], "id int, text string").createOrReplaceTempView("d")
