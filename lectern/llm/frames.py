@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
 from lectern.llm import tokens
-from lectern.llm.common import text_of
+from lectern.llm.common import small_batches, text_of
 
 FRAME_IDS = 1 << 16
 FILE_IDS = 1 << 25
@@ -339,7 +339,8 @@ def write(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", v
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_salt")]
     d = d.select("doc_id", t.alias("text"), F.xxhash64(t).alias("_h"), F.spark_partition_id().alias("_salt"))
     d = d.repartitionByRange(n, *order).sortWithinPartitions(*order[:2]).select("doc_id", "text")
-    encode(d, vocabulary=vocabulary).write.format("token_frames").options(path=path, **options).mode("append").save()
+    with small_batches(spark):
+        encode(d, vocabulary=vocabulary).write.format("token_frames").options(path=path, **options).mode("append").save()
 
 
 def read(spark: SparkSession, path: str, ids: list[int] | None = None, content: str = "ids") -> DataFrame:

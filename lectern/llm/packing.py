@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import tokens
 from lectern.llm.tokens import VOCABULARY  # noqa: F401
-from lectern.llm.common import text_of
+from lectern.llm.common import small_batches, text_of
 from lectern.operators.sizing import cut_lineage
 
 SIZE = 4096
@@ -99,7 +99,8 @@ def _fill(size: int):
 
 def pack(docs: DataFrame, size: int = SIZE, worker_pieces: int = WORKER_PIECES, **options) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece."""
-    cut = cut_lineage(pieces(docs, size=size, **options))
+    with small_batches(docs.sparkSession):
+        cut = cut_lineage(pieces(docs, size=size, **options))
     workers = max(1, -(-cut.count() // worker_pieces))
     turn = F.xxhash64("doc_id", "start", "ids_crc32")
     # Equal rows share a hash; the place in the written checkpoint, the same on every retry, spreads them too.

@@ -57,6 +57,24 @@ def test_pieces_of_earlier_blocks_are_kept_within_a_bound(monkeypatch):
         assert not any(len(p) > tokens.KNOWN_BYTES for p in [*ids.known, *ids.older])
 
 
+def test_texts_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    from lectern.llm import common, packing
+
+    log, before, pieces = str(tmp_path / "sizes"), spark.conf.get(common.BATCH_SETTING), packing.pieces
+
+    def sizes(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.write(f"{b.nbytes}\n")
+            yield b
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"))
+    monkeypatch.setattr(packing, "pieces", lambda d, **o: pieces(d.mapInArrow(sizes, "doc_id long, text string"), **o))
+    assert packing.pack(docs).agg(F.sum("length")).first()[0] == 3000 * 801
+    assert max(map(int, open(log).read().split())) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(common.BATCH_SETTING) == before
+
+
 @pytest.fixture(scope="module")
 def rows():
     out = [(i * 3, t) for i, t in enumerate(ODD)]
