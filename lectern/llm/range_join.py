@@ -46,7 +46,8 @@ _LINKS, _KEPT = 1 << 20, 16
 
 
 def unit(vectors) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    whole = isinstance(vectors, np.ndarray)
+    x = np.array(vectors, dtype=np.float64) if whole else np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     # Scaled by the largest component first: squares of extreme values neither overflow nor vanish.
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
